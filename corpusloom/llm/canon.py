@@ -37,17 +37,18 @@ def states_something(c: Column) -> Column:
     return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(*SAYS_NOTHING), F.lit(False))
 
 
-@F.pandas_udf("string")
-def plain(s: pd.Series) -> pd.Series:
-    """Compatibility form without accents, lower case, single blanks. Runs on distinct values only."""
+def _plain(v: str) -> str:
+    flat = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower()
+    return " ".join("".join("-" if unicodedata.category(c) == "Pd" else c for c in flat if unicodedata.category(c) != "Cf").replace("_", " ").split())
 
-    def one(v):
-        if v is None:
-            return None
-        flat = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c)).lower()
-        return " ".join("".join("-" if unicodedata.category(c) == "Pd" else c for c in flat if unicodedata.category(c) != "Cf").replace("_", " ").split())
 
-    return s.map(one, na_action="ignore")
+def _plain_all(s: pd.Series) -> pd.Series:
+    return s.map(_plain, na_action="ignore")
+
+
+def plain(c: Column) -> Column:
+    """Compatibility form without accents, lower case, single blanks. For distinct values only: it runs in Python."""
+    return F.pandas_udf(_plain_all, "string")(c)
 
 
 def most_edits(length: Column) -> Column:
