@@ -53,7 +53,7 @@ def split_list(c: Column, sep: str = ";;") -> Column:
 
 def split_codes(c: Column, sep: str = ";;") -> Column:
     """Distinct, sorted, trimmed elements of a delimited cell; a ``['a', 'b']`` literal is accepted too."""
-    bare = F.when(F.startswith(F.ltrim(c), F.lit("[")), F.regexp_replace(F.regexp_replace(c, r"^\s*\[|\]\s*$|['\"]", ""), r"\s*,\s*", sep)).otherwise(c)
+    bare = F.when(c.rlike(r"^\s*\[\s*['\"]"), F.regexp_replace(F.regexp_replace(c, r"^\s*\[|\]\s*$|['\"]", ""), r"\s*,\s*", sep)).otherwise(c)
     return F.array_sort(F.array_distinct(split_list(bare, sep)))
 
 
