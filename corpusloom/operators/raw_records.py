@@ -133,9 +133,14 @@ def field_types(records: DataFrame) -> DataFrame:
 def load_records(raw: DataFrame, export_files: DataFrame, id_field: str = "Lens ID") -> DataFrame:
     """All records with ``fail_reason`` (null: it loads), the retained ``_corrupt_record`` of failing ones, and
     ``fields`` of loading ones. The first reason that holds: broken_quoting, too_many_fields, too_few_fields,
-    invalid_value. The parsed records are written once to shared storage, as types need all of them first."""
-    recs = cut_lineage(split_records(raw, export_files, id_field))
-    types = field_types(recs).groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("pos", "type"))).alias("t")).select(*FILE, F.col("t.type").alias("types"))
+    invalid_value. The classified records are written once to shared storage, as types need all of them first; what
+    is written holds each text once and one letter per field, and ``fields`` are cut again only where asked for."""
+    one = split_records(raw, export_files, id_field)
+    keep = [c for c in one.columns if c not in ("names", "fields", "file_year", "classes")]
+    recs = cut_lineage(one.select(*keep, F.array_join("classes", "").alias("letters")))
+    delims = [r[0] for r in export_files.select("delim").distinct().collect() if r[0]]
+    classed = recs.withColumn("classes", F.when(F.col("letters") != "", F.split("letters", "")))
+    types = field_types(classed).groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("pos", "type"))).alias("t")).select(*FILE, F.col("t.type").alias("types"))
 
     def refused(z: Column) -> Column:
         out = F.lit(False)
@@ -144,10 +149,12 @@ def load_records(raw: DataFrame, export_files: DataFrame, id_field: str = "Lens
         return F.coalesce(out, F.lit(False))
 
     bad = F.exists(F.arrays_zip("types", "classes"), refused)
-    x = recs.join(small_side(types), FILE, "left")
+    x = classed.join(small_side(types), FILE, "left")
     reason = F.coalesce("reason", F.when(F.coalesce("bad_id", F.lit(False)) | F.coalesce(bad, F.lit(False)), "invalid_value"))
     x = x.withColumn("fail_reason", reason)
-    return x.withColumn("_corrupt_record", F.when(F.col("fail_reason").isNotNull(), F.coalesce("raw_text", F.lit("")))).withColumn("fields", F.when(F.col("fail_reason").isNull(), F.col("fields")))
+    text = F.coalesce("raw_text", F.lit(""))
+    fields = F.transform(_fields(sorted(delims), F.regexp_replace(text, "[\r\n]+$", "")), lambda p: strip(_unquoted(p)))
+    return x.withColumn("_corrupt_record", F.when(F.col("fail_reason").isNotNull(), text)).withColumn("fields", F.when(F.col("fail_reason").isNull(), fields)).drop("letters", "types")
 
 
 def _features(v: Column, file_year: Column) -> Column:
