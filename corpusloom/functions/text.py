@@ -13,9 +13,13 @@ _NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
 PLACEHOLDERS = ("", "-", "--", "?", "0", "n/a", "na", "n.a.", "n.a", "nan", "nil", "none", "null", "not available", "unknown", "undefined", "missing", "tbd")
 
 
+#: Blanks of any kind, line breaks, zero-width marks and the BOM.
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), *range(0x2028, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF)))
+
+
 def strip(c: Column) -> Column:
     """``c`` without white space of any kind, zero-width marks or BOMs at its ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def narrow(c: Column) -> Column:

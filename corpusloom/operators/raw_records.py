@@ -84,12 +84,12 @@ def headers(export_files: DataFrame) -> tuple[DataFrame, list[str]]:
 def value_class(v: Column) -> Column:
     """Class letter of one trimmed value."""
     as_day = F.regexp_replace(v, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
-    day = F.when(as_day.try_cast("date").isNull(), NO_DAY)
+    day = lambda kind: F.when(as_day.try_cast("date").isNull(), NO_DAY).otherwise(kind)
+    short = F.length(v) <= 10  # no day is longer
     return (
-        F.when(v == "", BLANK).when(v.rlike(r"^[0-9]+$"), WHOLE).when(F.length(v) > 24, TEXT).when(v.rlike(r"^[0-9]+\.[0-9]+$"), DECIMAL)
-        .when(F.lower(v).isin("yes", "no", "true", "false"), TRUTH)
-        .when(v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.coalesce(day, F.lit(YMD))).when(v.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.coalesce(day, F.lit(DMY)))
-        .otherwise(TEXT)
+        F.when(v == "", BLANK).when(~F.substring(v, 1, 1).between("0", "9"), F.when(F.lower(v).isin("yes", "no", "true", "false"), TRUTH).otherwise(TEXT))
+        .when(v.rlike(r"^[0-9]+$"), WHOLE).when(short & v.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), day(YMD)).when(short & v.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day(DMY))
+        .when(v.rlike(r"^[0-9]+\.[0-9]+$"), DECIMAL).otherwise(TEXT)
     )
 
 
@@ -189,11 +189,16 @@ def layout_changes(raw: DataFrame, export_files: DataFrame, id_field: str = "Len
         F.coalesce(F.array_except("names", F.coalesce("prior_names", "names")), F.array()).alias("comes"),
         F.coalesce(F.array_except("names", F.coalesce("next_names", "names")), F.array()).alias("goes"),
     )
-    recs = split_records(raw, export_files, id_field).where(F.col("reason").isNull() & ~F.col("bad_id")).join(small_side(moves), FILE)
+    # bad records give an empty list and are dropped behind the explode: a filter on the parsed columns would be
+    # moved below the parsing and so parse every record again
+    recs = split_records(raw, export_files, id_field).join(small_side(moves), FILE, "left")
+    ok = F.col("reason").isNull() & ~F.col("bad_id")
     moving = F.transform("names", lambda n: F.array_contains("comes", n) | F.array_contains("goes", n))
-    one = recs.withColumn("moving", moving).select(*FILE, "file_year", F.explode(F.arrays_zip("names", "classes", "fields", "moving")).alias("f"))
+    values = F.when(ok, F.arrays_zip("names", "classes", "fields", moving.alias("moving")))
+    one = recs.select(*FILE, "file_year", F.explode_outer(values).alias("f"))
     marks = F.concat(F.array(F.concat(F.lit("="), F.col("f.classes"))), F.when(F.col("f.moving"), _features(F.col("f.fields"), F.col("file_year"))).otherwise(F.array().cast("array<string>")))
-    stats = cut_lineage(one.select(*FILE, F.col("f.names").alias("name"), F.explode(marks).alias("mark")).groupBy(*FILE, "name", "mark").agg(F.count("*").alias("n")))
+    stats = one.select(*FILE, F.col("f.names").alias("name"), F.explode_outer(marks).alias("mark")).groupBy(*FILE, "name", "mark").agg(F.count("*").alias("n"))
+    stats = cut_lineage(stats.where("mark is not null"))
 
     types = stats.where(F.startswith("mark", F.lit("="))).groupBy(*FILE, "name").agg(*[F.sum(F.when(F.col("mark") == f"={c}", F.col("n"))).alias(c) for c in "bwftydzx"]).select(*FILE, "name", _type_of().alias("type"))
     hist = stats.where(~F.startswith("mark", F.lit("="))).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*FILE, "name"))).select(*FILE, "name", "mark", "p")
