@@ -49,9 +49,9 @@ def _one_field(delim: str) -> str:
     return rf'{d}("[^"]*+(?:""[^"]*+)*+"|[^{d}]*+)'
 
 
-def _per_delimiter(delims: list[str], make) -> Column:
+def _per_delimiter(delims: list[str], make, kind: str = "array<string>") -> Column:
     """``make(delim)`` of the row's own delimiter, with literal patterns so that each is compiled once."""
-    out = F.lit(None)
+    out = F.lit(None).cast(kind)
     for d in delims:
         out = F.when(F.col("delim") == d, make(d)).otherwise(out)
     return out
@@ -74,8 +74,10 @@ def headers(export_files: DataFrame) -> tuple[DataFrame, list[str]]:
     last = export_files.groupBy(*FILE).agg(F.max(F.struct("exported_at", "delim", "header_text", "file_year")).alias("h")).select(*FILE, "h.*")
     delims = sorted(r[0] for r in last.select("delim").distinct().collect() if r[0])
     name = lambda x: F.regexp_replace(_unquoted(x), r'(?U)^[\s\p{Cf}"]+|[\s\p{Cf}"]+$', "")
-    body = F.regexp_replace(F.coalesce("header_text", F.lit("")), "(?U)^[\\s\\p{Cf}]*﻿|[\r\n]+$", "")
-    raw = F.coalesce(_fields(delims, body), F.array())
+    # a header is read leniently: blanks around separators go first, and broken quoting falls back to a plain split
+    tight = _per_delimiter(delims, lambda d: F.regexp_replace(F.regexp_replace("header_text", "^[ \u00a0\ufeff]+|[ \u00a0\r\n]+$", ""), rf"[ \u00a0]*{_escaped(d)}[ \u00a0]*", d), "string")
+    body = F.coalesce(tight, F.lit(""))
+    raw = F.coalesce(_fields(delims, body), _per_delimiter(delims, lambda d: F.split(body, _escaped(d))), F.array().cast("array<string>"))
     out = last.withColumn("names", F.transform(raw, name)).drop("header_text")
     w = Window.partitionBy("_source_folder").orderBy("exported_at", "_source_file")
     return out.withColumn("prior_file", F.lag("_source_file").over(w)).withColumn("prior_names", F.lag("names").over(w)), delims

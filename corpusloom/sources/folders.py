@@ -59,10 +59,15 @@ def read_file(spark: SparkSession, path: str, delim: str = ",", encoding: str =
     return raw.withColumn(BAD, F.col(EXTRA).isNotNull()).drop(EXTRA)
 
 
-def read_small(spark: SparkSession, path: str) -> DataFrame:
-    """A small sheet in whatever encoding it was saved."""
+def read_small(spark: SparkSession, path: str, max_bytes: int = 64 << 20) -> DataFrame:
+    """A small sheet in whatever encoding it was saved, read on the driver; refuses more than ``max_bytes``."""
+    if Path(path).stat().st_size > max_bytes:
+        raise ValueError(f"{path} is larger than {max_bytes} bytes; use read_file")
     e = encoding_of(path)
-    return read_file(spark, path, encoding="utf-8" if e.startswith("utf-8") else {"cp1252": "windows-1252", "latin-1": "iso-8859-1"}[e])
+    names = header_of(path, "utf-8-sig" if e == "utf-8" else e)
+    with open(path, encoding=e, newline="") as f:
+        rows = [r[: len(names)] + [None] * (len(names) - len(r)) for r in csv.reader(f)][1:]
+    return spark.createDataFrame(rows, T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
 def scan(spark: SparkSession, folder: str, source: str) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
