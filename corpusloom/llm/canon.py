@@ -101,7 +101,9 @@ def repair_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
     if not shape:
         return tokens.select("token", F.lit("").alias("word"), F.lit(0.0).alias("sim")).limit(0)
-    probe = tokens.select("token", F.explode(F.array_distinct(F.concat(*[probes(r["len"], r["d"]) for r in shape]))).alias("p")).select("token", "p.*")
+    # few bytes become many probes: keep the tasks that adaptive execution would merge
+    spread = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    probe = spread.select("token", F.explode(F.array_distinct(F.concat(*[probes(r["len"], r["d"]) for r in shape]))).alias("p")).select("token", "p.*")
     pairs = probe.join(seg_w, ["len", "no", "seg"]).select("token", "word").distinct()
     dist = F.levenshtein("token", "word")
     near = pairs.withColumn("dist", dist).where(F.col("dist") <= most_edits(F.length("word"))).select("token", "word", (1 - F.col("dist") / F.length("word")).alias("sim"))

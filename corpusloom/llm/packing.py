@@ -113,7 +113,8 @@ def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """All containers as (lengths, number), patterns first. ``hist[l]``: items of length l; hist[0] is ignored."""
+    """All containers as (lengths, number), patterns first. ``hist[l]``: items of length l; hist[0] is ignored. If the
+    fitted patterns need more containers than best fit alone (few, large items), the latter is taken."""
     lengths = np.flatnonzero(hist)
     rows = patterns(lengths[lengths > 0], len(hist) - 1)
     use = repeat_counts(rows, hist)
@@ -124,7 +125,8 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         out.append((items, int(use[k])))
         for x in items:
             left[x] -= use[k]
-    return out + best_fit(left)
+    fitted, plain = out + best_fit(left), best_fit(hist)
+    return fitted if sum(n for _, n in fitted) <= sum(n for _, n in plain) else plain
 
 
 def rank_ranges(containers: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:

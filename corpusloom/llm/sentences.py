@@ -21,16 +21,20 @@ from pyspark.sql import functions as F
 
 #: Abbreviations that a number, a name or the rest of the sentence follows, by language.
 LEADING = {
-    "en": "fig figs no nos pat sec secs col cols cf vs approx resp vol vols pp p ch chap eq eqs ref refs rec tab dr mr mrs ms prof st ser appl app art para al est dept max min temp incl viz e.g i.e n.b ca",
-    "de": "nr abb fig figs tab lt ca bzw vgl abs art bd s z d u dr prof hr fr st evtl ggf inkl exkl sog max min mind usf vs gem ziff kap seite insb b h z.b d.h u.a z.t i.d.r bspw",
-    "fr": "art al env p ex fig figs m mm mme mlle cf n no vol chap éd éq réf tab dr st ste av p.ex max min env",
-    "es": "sr sra srta dr dra núm num doc aprox art arts p ej pág págs fig figs ee vol cap ref tel av máx mín p.ej ud uds",
+    "en": "fig figs no nos pat sec secs col cols cf vs approx resp vol vols pp ch chap eq eqs ref refs rec tab dr mr mrs ms prof st ser appl app art para al est dept max min temp incl viz e.g i.e n.b ca",
+    "de": "nr abb fig figs tab lt ca bzw vgl abs art bd dr prof hr fr st evtl ggf inkl exkl sog max min mind usf vs gem ziff kap seite insb z.b d.h u.a z.t i.d.r bspw",
+    "fr": "art al env fig figs mm mme mlle cf vol chap éd éq réf tab dr st ste av p.ex max min env",
+    "es": "sr sra srta dr dra núm num doc aprox art arts pág págs fig figs ee vol cap ref tel av máx mín p.ej ud uds",
     "hi": "डॉ सं श्री पृ क्र प्रो",
-    "ar": "ص د أ م ج ط رقم",
+    "ar": "ص رقم",
     "it": "sig dott ing pag fig art cap ecc es",
     "pt": "sr sra dr pág fig art núm ex",
-    "ru": "рис г гг т д др см стр им ул",
+    "ru": "рис гг др см стр им ул",
 }
+#: Abbreviations of several parts.
+SEVERAL = r"z\.\s?B|d\.\s?h|u\.\s?a|z\.\s?T|s\.\s?o|s\.\s?u|i\.\s?d\.\s?R|i\.\s?e|e\.\s?g|N\.\s?B|p\.\s?ex|p\.\s?ej|EE\.(?=\s?UU)"
+#: Single letters that a number follows.
+BEFORE_NUMBER = "p s n q f v art"
 #: Abbreviations that may also stand at a sentence's end.
 FINAL = "etc usw ecc ltd inc corp co bros jr sr u.s e.u u.k u.s.a ee.uu uu p.m a.m deg u.n ph.d b.v s.a usf ff"
 #: Words after which a dot or quote in text of one case goes on rather than ends.
@@ -40,6 +44,10 @@ BEFORE_ORDINAL = "der die das den dem des am im vom zum zur seit bis ab jede jed
 
 _LEADING = frozenset(w for v in LEADING.values() for w in v.split())
 _FINAL = frozenset(FINAL.split())
+_SEVERAL = regex.compile(rf"(?i)\b(?:{SEVERAL})\.")
+_BEFORE_NUMBER = frozenset(BEFORE_NUMBER.split())
+_UNIT_BEFORE = regex.compile(r"(?:\d|deg\.|%|°)\s*$")
+_GERMAN = frozenset("ist wird wurde der das dem den des mit ohne nach während bleibt keine keinen und oder eine einer einem es im zum zur nennt sie".split())
 _GOES_ON = frozenset(GOES_ON.split())
 _ORDINAL = frozenset(BEFORE_ORDINAL.split())
 _OPEN = {"(": ")", "[": "]", "（": "）", "【": "】", "［": "］", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "《": "》", "‹": "›", "〔": "〕"}
@@ -101,7 +109,7 @@ def _regions(s: str) -> list[tuple[int, int]]:
 def _ends_open(s: str) -> bool:
     """True if the line ends with an abbreviation that wants something after it."""
     m = regex.search(r"([\p{L}\p{M}.]+)\.\s*$", s)
-    return bool(m) and (m.group(1).lower() in _LEADING or len(m.group(1)) == 1)
+    return bool(m) and (m.group(1).lower() in _LEADING or len(m.group(1)) == 1 and m.group(1).islower())
 
 
 def _ends_final(s: str) -> bool:
@@ -270,10 +278,14 @@ def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int,
         if low == "deg":
             return None if regex.match(r"[CFKcfk]\b", s[k:]) else e
         return e if look.isupper() or look.isdigit() or caseless or opener or _STARTER.match(s, k) else None
-    if low in _LEADING:
+    if low in _LEADING or any(m.start() < i < m.end() for m in _SEVERAL.finditer(s, max(0, i - 10), min(len(s), i + 8))):
         return None
     if len(token) == 1 and token.isalpha() and not caseless:
-        return None if token.isupper() or nxt.islower() else e
+        if look.isdigit() and low in _BEFORE_NUMBER:
+            return None
+        if token.isupper():
+            return e if _UNIT_BEFORE.search(s[max(0, i - 8) : i - 1]) else None
+        return e if look.isupper() or mono and word not in _GOES_ON else None
     if german and token.isdigit() and len(token) <= 2:
         prior = regex.search(r"(\p{L}+)\s+$", s[max(0, i - len(token) - 24) : i - len(token)])
         if prior and prior.group(1).lower() in _ORDINAL:
@@ -304,7 +316,7 @@ def sentence_spans(text: str | None, lang: str | None = None, section: str | Non
     if not text or not text.strip():
         return []
     section = (section or "").strip().lower()
-    german = (lang or "").lower().startswith("de") or len(regex.findall(r"\b(?:ist|wird|der|das|mit|ohne|nach|während|bleibt|keine)\b", text)) >= 3
+    german = (lang or "").lower().startswith("de") or len(_GERMAN.intersection(text.lower().split())) >= 2
     mono = _case(text) == "one"
     out: list[tuple[int, int]] = []
     for a, b, remark in _blocks(text, section):
