@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import code_slices, split_codes
-from corpusloom.operators.terms import terms_of
+from corpusloom.operators.terms import with_terms
 from corpusloom.operators.vectors import l2_normalise
 
 Encoder = Callable[[list[str]], list[list[float]]]
@@ -32,7 +32,7 @@ def encode_with(df: DataFrame, id_col: str, text: str, encoder: Encoder, batch:
 def hashed_tfidf(df: DataFrame, id_col: str, text: str, dims: int = 256) -> DataFrame:
     """(id, embedding) of hashed words and word pairs, weighted by rarity over all rows, of unit length (a text
     without terms: the zero vector)."""
-    x = df.select(F.col(id_col), terms_of(F.col(text)).alias("terms"))
+    x = with_terms(df.select(F.col(id_col), F.col(text).alias("_t")), "_t", "terms").drop("_t")
     tf = HashingTF(numFeatures=dims, inputCol="terms", outputCol="tf").transform(x)
     v = IDF(inputCol="tf", outputCol="v").fit(tf).transform(tf)
     return v.select(id_col, l2_normalise(vector_to_array("v")).alias("embedding"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 STOP_WORDS = "a an and are as at be been before but by can each every first for from has have if in into is it its more no nor not of on or one other out over second so some such than that the their them then there these this those to under was were when where which while with without".split()
 
 
-def terms_of(text: Column, stop: list[str] = STOP_WORDS) -> Column:
-    """Lower-case words of two or more word characters without stop words, and the pairs of neighbours."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, pairs)
+def with_terms(df: DataFrame, text: str, out: str, stop: list[str] = STOP_WORDS) -> DataFrame:
+    """``df`` with an array of the lower-case words of two or more word characters without stop words, and of the
+    pairs of neighbours. The words are a column of their own, so that each text is cut once."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop))
+    x = df.withColumn("_words", words)
+    n = F.greatest(F.size("_words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_words", F.lit(1), n), F.slice("_words", F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+    return x.withColumn(out, F.concat("_words", pairs)).drop("_words")
 
 
 def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min_df: int = 3, max_terms: int = 4000) -> DataFrame:
@@ -24,7 +27,7 @@ def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min
     (1 + df)) + 1; each text's weights have length 1. A group without such terms gives no row. Ties by term. Terms
     are counted per text before any shuffle by group."""
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    tf = df.select(group, id_col, F.explode(terms_of(F.col(text))).alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
+    tf = with_terms(df.select(group, id_col, F.col(text).alias("_t")), "_t", "_terms").select(group, id_col, F.explode("_terms").alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy(group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     w = Window.partitionBy(group).orderBy(F.desc("total"), "term")
     vocab = stat.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_terms).join(n, group).select(group, "term", "_n", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
