@@ -82,28 +82,23 @@ def _segments(word: Column, edits: Column) -> Column:
 def repair_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """(token, word, sim) of every distinct token and vocabulary word within ``most_edits``; sim = 1 - d / length."""
     words = vocab.select(F.col("token").alias("word")).distinct()
-    lengths = words.select(F.length("word").alias("len")).distinct().withColumn("d", most_edits(F.col("len")))
     seg_w = words.withColumn("d", most_edits(F.length("word"))).select("word", F.length("word").alias("len"), F.explode(_segments(F.col("word"), F.col("d"))).alias("s")).select("word", "len", F.col("s.no").alias("no"), F.col("s.text").alias("seg"))
-    ranges = lengths.groupBy().agg(F.collect_list(F.struct("len", "d")).alias("ls"))  # as many as the list has word lengths
-    shape = ranges.first()["ls"] or []
+    shape = words.select(F.length("word").alias("len")).distinct().withColumn("d", most_edits(F.col("len"))).collect()  # the list's word lengths
     t = F.col("token")
-
-    def probes(n: int, d: int) -> Column:
-        k = d + 1
-        base, extra = divmod(n, k)
-        out, start = [], 0
-        for i in range(k):
-            size = base + (1 if i >= k - extra else 0)
-            for p in range(max(0, start - d), start + d + 1):
-                out.append(F.struct(F.lit(n).alias("len"), F.lit(i).alias("no"), F.substring(t, p + 1, size).alias("seg")))
+    rows = []
+    for n, d in sorted((r["len"], r["d"]) for r in shape):
+        base, extra = divmod(n, d + 1)
+        start = 0
+        for i in range(d + 1):
+            size = base + (1 if i >= d + 1 - extra else 0)
+            for length in range(max(1, n - d), n + d + 1):
+                rows += [(length, n, i, p + 1, size) for p in range(max(0, start - d), min(start + d, length - size) + 1)]
             start += size
-        return F.when(F.abs(F.length(t) - n) <= d, F.array(*out)).otherwise(F.array().cast("array<struct<len:int,no:int,seg:string>>"))
-
-    if not shape:
-        return tokens.select("token", F.lit("").alias("word"), F.lit(0.0).alias("sim")).limit(0)
+    spark = tokens.sparkSession
+    cuts = spark.createDataFrame(rows, "token_len int, len int, no int, at int, size int")
     # few bytes become many probes: keep the tasks that adaptive execution would merge
-    spread = tokens.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-    probe = spread.select("token", F.explode(F.array_distinct(F.concat(*[probes(r["len"], r["d"]) for r in shape]))).alias("p")).select("token", "p.*")
+    spread = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").withColumn("token_len", F.length("token"))
+    probe = spread.join(F.broadcast(cuts), "token_len").select("token", "len", "no", F.substring(t, F.col("at"), F.col("size")).alias("seg"))
     pairs = probe.join(seg_w, ["len", "no", "seg"]).select("token", "word").distinct()
     dist = F.levenshtein("token", "word")
     near = pairs.withColumn("dist", dist).where(F.col("dist") <= most_edits(F.length("word"))).select("token", "word", (1 - F.col("dist") / F.length("word")).alias("sim"))
@@ -120,7 +115,7 @@ def match_values(values: DataFrame, reference: DataFrame, min_cover: float = MIN
     weighted by their rarity among the list's names. Ties go to the name that leaves fewer of the value's words
     over, then to the smaller arch_id. A list without entries gives 0 for all.
     """
-    vocab = vocabulary(reference).persist()
+    vocab = cut_lineage(vocabulary(reference))
     words = F.filter(F.split(F.col("p"), " "), lambda x: x != "")
     v = values.select("value").distinct().withColumn("p", plain(F.col("value"))).repartition("value")
     v = v.withColumn("chunks", words).withColumn("atoms", F.filter(F.split("p", r"[^\p{L}\p{N}]+"), lambda x: x != ""))
@@ -131,6 +126,7 @@ def match_values(values: DataFrame, reference: DataFrame, min_cover: float = MIN
     tokens = F.filter(F.array_distinct(F.concat("atoms", pairs, glued, singular)), lambda x: F.length(x) > 1)
     heads = F.filter(F.transform(F.filter("chunks", lambda c: c.rlike(r"\.\W*$")), lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")), lambda x: F.length(x) >= 3)
     tv = v.select("value", "p", F.size("atoms").alias("n_atoms"), F.explode(F.concat(F.transform(tokens, lambda x: F.struct(x.alias("token"), F.lit(False).alias("head"))), F.transform(heads, lambda x: F.struct(x.alias("token"), F.lit(True).alias("head"))))).alias("t")).select("value", "n_atoms", "t.*")
+    tv = cut_lineage(tv)
     repaired = repair_tokens(tv.where("not head").select("token").distinct(), vocab).withColumn("head", F.lit(False))
     by_head = vocab.where("length(token) >= 3").select(F.col("token").alias("word")).distinct().withColumn("token", F.explode(F.transform(F.sequence(F.lit(3), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n))))
     fits = repaired.select("token", "head", "word", "sim").unionByName(by_head.select("token", F.lit(True).alias("head"), "word", F.lit(0.95).alias("sim")))
@@ -148,7 +144,7 @@ def match_values(values: DataFrame, reference: DataFrame, min_cover: float = MIN
     cover = part.join(place, ["arch_id", "name_no", "place"]).groupBy("value", "n_atoms", "arch_id", "name_no").agg(F.sum(F.col("w2") * F.col("sim")).alias("got"), F.count("*").alias("n_hit")).join(norm, ["arch_id", "name_no"])
     ranked = cover.select("value", "arch_id", (F.col("got") / F.col("norm")).alias("score"), (F.col("n_hit") / F.greatest("n_atoms", F.lit(1))).alias("used"))
     best = ranked.groupBy("value").agg(F.max(F.struct("score", "used", (-F.col("arch_id")).alias("neg"))).alias("b")).select("value", (-F.col("b.neg")).alias("arch_id"), F.col("b.score").alias("score")).where(F.col("score") >= min_cover)
-    return v.select("value").join(best, "value", "left").select("value", F.coalesce("arch_id", F.lit(0).cast("bigint")).alias("arch_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return values.select("value").distinct().join(best, "value", "left").select("value", F.coalesce("arch_id", F.lit(0).cast("bigint")).alias("arch_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def canonical_rows(labels: DataFrame, reference: DataFrame, id_col: str = "label_id", value_col: str = "architecture") -> DataFrame:
