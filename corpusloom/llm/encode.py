@@ -79,7 +79,7 @@ def _joined(occurrences: DataFrame, table: DataFrame, total: int) -> DataFrame:
     got = [c for c in often.columns if c != "word"]
     known = first.where(F.col(got[0]).isNotNull()).drop("word")
     rest = first.where(F.col(got[0]).isNull()).drop(*got)
-    return known.unionByName(rest.join(rare.hint("shuffle_hash"), "word").drop("word"))
+    return known.unionByName(rest.join(rare, "word").drop("word"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:

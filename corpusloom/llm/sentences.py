@@ -186,6 +186,8 @@ def _hard(prev: str, line: str, bare: str, width: int, reach: int, remark: bool,
     mark = _MARKER.match(line)
     if mark and not open_ and not (any(c.isdigit() for c in mark.group()) and (full or running) and not _ENDS.search(a) and a[-1] not in ",;:" and not _MARKER.match(prev)):
         return True
+    if bare[0] in ":;,.!?)»”%…、。，；：！？）」":
+        return False
     if _CODE.search(a) and not _ENDS.search(a) or _CODE.search(bare) and not _ENDS.search(bare):
         return True
     if remark:
