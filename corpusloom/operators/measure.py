@@ -128,3 +128,8 @@ def impute_scale(df: DataFrame, value: str) -> DataFrame:
     if s["lo"] is None:
         return df.withColumn("scaled", F.lit(None).cast("double"))
     return df.withColumn("scaled", (F.coalesce(F.col(value).cast("double"), F.lit(s["mid"])) - s["lo"]) / max(s["hi"] - s["lo"], 1.0))
+
+
+def size_note(n: int, least: int = 30_000, most: int = 400_000) -> str:
+    """A note if a corpus is smaller or larger than a plausible range, else ''."""
+    return f"{n:,} records: fewer than {least:,}, the rule may be too narrow" if n < least else f"{n:,} records: more than {most:,}, the rule may be too wide" if n > most else ""

@@ -261,6 +261,7 @@ q as (select vec_id, max(case when la = lb then s / greatest(n - 1, 1) end) as a
 select round(avg(case when n > 1 then (b - a) / greatest(a, b) else 0 end), 6) as silhouette from q""",
     "centroid_medians": "select label as cluster, count(*) as n, round(median(embedding[1]::double), 6) as cx, round(median(embedding[2]::double), 6) as cy from embeddings where label <> -1 group by 1",
     "tfidf_top_terms": _terms(),
+    "stream_ingest": "select event_type, count(distinct event_id) as n from events group by 1",
     "stratified_sample": _DRAWN + " select rec_id, side from drawn",
     "blind_sheet": _DRAWN + " select rec_id, display_key, row_number() over (order by draw, rec_id) as row, '' as is_topic, '' as notes from drawn",
     "band_sample": _SEED + f", b as (select vec_id, {_band('score', V.LOW_BANDS, 'null')} as band, md5(vec_id::varchar || '|42') as draw from scores where not is_seed) select vec_id, band from (select *, row_number() over (partition by band order by draw, vec_id) as rn from b where band is not null) where rn <= 20",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates, stats, text
 from corpusloom.operators import cluster, dedup, embed, evidence, measure, raw_records, sampling, terms, validate, vectors
 from corpusloom.plans import vocab as V
-from corpusloom.session import read
+from corpusloom.session import read, shared_folder
+from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -625,6 +626,18 @@ def band_sample(spark, d):
     return sampling.band_sample(x, "score", "vec_id", V.LOW_BANDS, 20).select("vec_id", "band")
 
 
+# ---- stream -----------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_ingest(spark, d):
+    """The events as a file stream, each id once, appended exactly once to a table in the shared folder."""
+    rows = ingest.stream_parquet(spark, f"{d}/events.parquet*", read(spark, d, "events").schema)
+    out = shared_folder(spark)
+    ingest.ingest_available(rows, lambda x: ingest.first_seen(x, "event_id", "ts", "1 day"), f"{out}/table", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 # ---- raw records ------------------------------------------------------------------------------------------------
 
 

@@ -38,6 +38,11 @@ def write_manifest(path: str, **what) -> None:
     Path(path).write_text(json.dumps(what, indent=2, default=str, sort_keys=True))
 
 
+def write_report(path: str, lines: list[str]) -> None:
+    """A text report."""
+    Path(path).write_text("\n".join(lines), encoding="utf-8")
+
+
 def read_manifest(path: str) -> dict:
     """The manifest, or {} if there is none."""
     return json.loads(Path(path).read_text()) if Path(path).exists() else {}

@@ -95,3 +95,8 @@ def test_stream_windows(spark, tmp_path):
     s = ingest.windowed_counts(ingest.stream_parquet(spark, str(tmp_path / "in"), "k string, ts timestamp"), "ts", "k", "1 hour", "10 minutes")
     ingest.ingest_available(s, lambda x: x, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
     assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) >= 0
+
+
+def test_report(tmp_path):
+    sinks.write_report(str(tmp_path / "r.txt"), ["a", "b"])
+    assert (tmp_path / "r.txt").read_text() == "a\nb"
