@@ -2,8 +2,8 @@
 
 The tokenizer's own pre-split runs in the JVM, each distinct word is encoded once, and the ids are joined back by
 position; decoding joins ids to their pieces. Word frequencies are heavy at the head, so the dictionary is joined
-in two parts: the frequent words, of which there can be at most 1 / FREQUENT, are broadcast; the rest go through a
-shuffle join whose keys each hold less than that share of the rows. A null and an empty text have no words and get
+in two parts: the frequent words, of which there can be at most 1 / FREQUENT (50,000), are broadcast; the rest go
+through a shuffle join whose keys each hold less than that share of the rows. A null and an empty text have no words and get
 an empty list. Vocabulary files are read from a path on every worker and are never copied.
 """
 
@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
@@ -25,7 +28,7 @@ DEFAULT = "byte_bpe_50k"
 #: Fixed value: the pre-split that belongs to the byte-level vocabularies (with Unicode blanks).
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{IsN}+| ?[^\s\p{L}\p{IsN}]+|\s+(?!\S)|\s+"
 #: Share of all word occurrences from which a word counts as frequent: at most 1 / FREQUENT words.
-FREQUENT = 1e-4
+FREQUENT = 2e-5
 
 
 @lru_cache(maxsize=4)
@@ -46,9 +49,9 @@ def _path(tokenizer: str, folder: str) -> str:
     return f"{folder}/{tokenizer}.tiktoken"
 
 
-def words(docs: DataFrame, *keys: str, text_col: str = "text") -> DataFrame:
-    """(keys, pos, word) of every word of every text, positions from 0."""
-    return docs.select(*keys, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPLIT), F.lit(0))).alias("pos", "word"))
+def split_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, _id, words): the words of every row's text in order, and a number of its own for each row."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPLIT), F.lit(0)).alias("words"))
 
 
 def encode_words(table: DataFrame, tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
@@ -70,38 +73,101 @@ def dictionary(docs: DataFrame, text_col: str = "text", tokenizer: str = DEFAULT
     return cut_lineage(encode_words(one.groupBy("word").agg(F.count("*").alias("n")), tokenizer, folder))
 
 
-def _joined(occurrences: DataFrame, table: DataFrame, total: int) -> DataFrame:
-    """Each occurrence row with its word's columns from ``table``; frequent words by broadcast, the rest by shuffle."""
-    least = max(1, int(FREQUENT * total))
-    often = table.where(F.col("n") > least).drop("n")
-    rare = table.where(F.col("n") <= least).drop("n")
-    first = occurrences.join(F.broadcast(often), "word", "left")
-    got = [c for c in often.columns if c != "word"]
-    known = first.where(F.col(got[0]).isNotNull()).drop("word")
-    rest = first.where(F.col(got[0]).isNull()).drop(*got)
-    return known.unionByName(rest.join(rare, "word").drop("word"))
+def _split(table: DataFrame) -> tuple[pa.Table, DataFrame, bool]:
+    """The dictionary's frequent words (at most 1 / FREQUENT, as a table to broadcast), the others, and whether there
+    are others."""
+    s = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.min("n"), F.lit(0)).alias("least")).first()
+    cut = int(FREQUENT * s["total"])
+    return table.where(F.col("n") > cut).select("word", "ids").toArrow(), table.where(F.col("n") <= cut).drop("n"), s["least"] <= cut and s["total"] > 0
+
+
+def _flat(b: pa.RecordBatch, often: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Of a batch (_row, _id, words): for each word its record, itself, its place among the frequent words (-1: rare)
+    and its position."""
+    lists = b.column(2)
+    offs = lists.offsets.to_numpy()
+    flat = lists.values.slice(offs[0], offs[-1] - offs[0])
+    sizes = np.diff(offs)
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    pos = np.arange(len(owner)) - np.repeat(offs[:-1] - offs[0], sizes)
+    found = pc.index_in(flat, value_set=often.column("word").combine_chunks())
+    return owner, flat, pc.fill_null(found, -1).to_numpy(zero_copy_only=False), pos
+
+
+def _stretches(held) -> Callable:
+    """Looks the frequent words up and joins the ids of neighbours: one output record (_row, _id, pos, word, ids) per
+    rare word and per stretch between them, and one for a record without words. All on Arrow buffers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
+        ids = often.column("ids").combine_chunks()
+        for b in batches:
+            owner, flat, at, pos = _flat(b, often)
+            rare = at < 0
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | rare[1:] | rare[:-1]
+            first = np.flatnonzero(new)
+            got = ids.take(pa.array(at, mask=rare))
+            sizes = pc.fill_null(pc.list_value_length(got), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            none = np.setdiff1d(np.arange(b.num_rows), owner)  # records without words
+            offs = np.concatenate([ends[first], np.repeat(ends[-1:], len(none) + 1)]).astype(np.int32)
+            take = pa.array(np.concatenate([owner[first], none]))
+            word = pa.concat_arrays([pc.if_else(pa.array(rare[first]), flat.take(pa.array(first)), pa.nulls(len(first), flat.type)), pa.nulls(len(none), flat.type)])
+            where = pa.array(np.concatenate([pos[first], np.zeros(len(none))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), where, word, pa.ListArray.from_arrays(pa.array(offs), got.flatten().cast(pa.int32()))], ["_row", "_id", "pos", "word", "ids"])
+
+    return run
+
+
+def _sums(held) -> Callable:
+    """Per record the summed tokens of its frequent words, and a record per rare word (_row, _id, word, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = held.value
+        size = np.concatenate([pc.list_value_length(often.column("ids").combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64), [0]])
+        for b in batches:
+            owner, flat, at, _ = _flat(b, often)
+            known = np.bincount(owner, weights=size[at], minlength=b.num_rows).astype(np.int64)
+            rare = np.flatnonzero(at < 0)
+            take = pa.array(np.concatenate([np.arange(b.num_rows), owner[rare]]))
+            word = pa.concat_arrays([pa.nulls(b.num_rows, flat.type), flat.take(pa.array(rare))])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), word, pa.array(np.concatenate([known, np.zeros(len(rare), dtype=np.int64)]))], ["_row", "_id", "word", "k"])
+
+    return run
+
+
+def _key() -> Column:
+    """Join key of a record: its rare word, else a value of its own that is no word, so that these records spread."""
+    return F.coalesce("word", F.concat(F.lit("\x00"), F.col("_row").cast("string")))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, ids) of every row, without special tokens. Rows are kept apart by their place in the scan, so repeated
-    and null ids give one row each."""
-    docs = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    table = dictionary(docs, text_col, tokenizer, folder)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    rows = _joined(words(docs, "_row", id_col, text_col=text_col), table, total)
-    ids = rows.groupBy("_row", id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids")).drop("_row")
-    empty = docs.where(F.coalesce(F.length(text_col), F.lit(0)) == 0).select(id_col, F.array().cast("array<int>").alias("ids"))
-    return ids.unionByName(empty)
+    """(id, ids) of every row, without special tokens. Rows are kept apart by a number of their own, so repeated and
+    null ids give one row each.
+
+    One pass splits the texts, looks frequent words up in the broadcast table and joins their ids to stretches inside
+    the task; only stretches and rare words are shuffled."""
+    often, rare, any_rare = _split(dictionary(docs, text_col, tokenizer, folder))
+    held = docs.sparkSession.sparkContext.broadcast(often)
+    cut = split_words(docs, id_col, text_col)
+    rows = cut.mapInArrow(_stretches(held), f"_row long, _id {cut.schema['_id'].dataType.simpleString()}, pos int, word string, ids array<int>")
+    if any_rare:
+        rows = rows.withColumn("_k", _key()).join(rare.select(F.col("word").alias("_k"), F.col("ids").alias("_r")), "_k", "left").select("_row", "_id", "pos", F.coalesce("_r", "ids").alias("ids"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"]))
+    return rows.groupBy("_row", "_id").agg(whole.alias("ids")).select(F.col("_id").alias(id_col), "ids")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, n_tokens) of every row; counts of each row's words travel, its text does not."""
-    docs = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    table = dictionary(docs, text_col, tokenizer, folder).select("word", "n", F.size("ids").alias("k"))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    sums = _joined(words(docs, "_row", id_col, text_col=text_col).drop("pos"), table, total).groupBy("_row", id_col).agg(F.sum("k").cast("bigint").alias("n_tokens")).drop("_row")
-    empty = docs.where(F.coalesce(F.length(text_col), F.lit(0)) == 0).select(id_col, F.lit(0).cast("bigint").alias("n_tokens"))
-    return sums.unionByName(empty)
+    """(id, n_tokens) of every row. A row's frequent words are summed inside the task; the sum and the row's rare
+    words are all that is shuffled."""
+    often, rare, any_rare = _split(dictionary(docs, text_col, tokenizer, folder))
+    held = docs.sparkSession.sparkContext.broadcast(often)
+    cut = split_words(docs, id_col, text_col)
+    per = cut.mapInArrow(_sums(held), f"_row long, _id {cut.schema['_id'].dataType.simpleString()}, word string, k long")
+    if any_rare:
+        per = per.withColumn("_k", _key()).join(rare.select(F.col("word").alias("_k"), F.size("ids").alias("_r")), "_k", "left").withColumn("k", F.coalesce("_r", "k"))
+    return per.groupBy("_row", "_id").agg(F.sum("k").cast("bigint").alias("n_tokens")).select(F.col("_id").alias(id_col), "n_tokens")
 
 
 def pieces(spark: SparkSession, tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
