@@ -152,22 +152,22 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     """
     spark = sizes.sparkSession
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("bigint")
-    items = sizes.select(F.col(id_col), n.alias("_n"), F.monotonically_increasing_id().alias("_row"))
-    cut = items.where("_n > 0").withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / capacity))))
+    items = sizes.select(F.col(id_col), F.greatest(n, F.lit(0)).alias("_n"), F.monotonically_increasing_id().alias("_row"))
+    cut = items.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / capacity)))))
     cut = cut.withColumn("piece_start", F.col("piece_no") * capacity).withColumn("len", F.least(F.lit(capacity), F.col("_n") - F.col("piece_start")).cast("int"))
     cut = cut_lineage(cut.withColumn("b", F.pmod(F.xxhash64(id_col, "_row", "piece_no"), F.lit(BUCKETS)).cast("int")).drop("_n"))
-    counts = cut.groupBy("len", "b").agg(F.count("*").alias("c")).collect()  # at most capacity * BUCKETS rows
+    counts = cut.where("len > 0").groupBy("len", "b").agg(F.count("*").alias("c")).collect()  # at most capacity * BUCKETS rows
     hist, before = np.zeros(capacity + 1, dtype=np.int64), []
     for r in sorted(counts, key=lambda r: (r["len"], r["b"])):
         before.append((r["len"], r["b"], int(hist[r["len"]])))
         hist[r["len"]] += r["c"]
     ranges = spark.createDataFrame(rank_ranges(plan(hist)), "len int, lo long, hi long, base long, slot int, start_pos int")
     offsets = spark.createDataFrame(before, "len int, b int, before long")
-    ranked = cut.withColumn("rn", F.row_number().over(Window.partitionBy("len", "b").orderBy(id_col, "_row", "piece_no"))).join(F.broadcast(offsets), ["len", "b"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
+    ranked = cut.where("len > 0").withColumn("rn", F.row_number().over(Window.partitionBy("len", "b").orderBy(id_col, "_row", "piece_no"))).join(F.broadcast(offsets), ["len", "b"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
     placed = ranked.join(small_side(ranges, 2_000_000), (ranked["len"] == ranges["len"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     out = placed.select(id_col, "piece_no", "piece_start", ranked["len"].alias("n_tokens"), (F.col("base") + F.col("rank") - F.col("lo")).alias("container_id"), "slot", "start_pos")
     none = lambda t: F.lit(None).cast(t)
-    zero = items.where("_n <= 0").select(id_col, F.lit(0).cast("bigint").alias("piece_no"), F.lit(0).cast("bigint").alias("piece_start"), F.lit(0).alias("n_tokens"), none("bigint").alias("container_id"), none("int").alias("slot"), none("int").alias("start_pos"))
+    zero = cut.where("len = 0").select(id_col, "piece_no", "piece_start", F.col("len").alias("n_tokens"), none("bigint").alias("container_id"), none("int").alias("slot"), none("int").alias("start_pos"))
     return out.unionByName(zero)
 
 
