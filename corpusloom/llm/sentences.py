@@ -47,6 +47,17 @@ _FINAL = frozenset(FINAL.split())
 _SEVERAL = regex.compile(rf"(?i)\b(?:{SEVERAL})\.")
 _BEFORE_NUMBER = frozenset(BEFORE_NUMBER.split())
 _UNIT_BEFORE = regex.compile(r"(?:\d|deg\.|%|°)\s*$")
+_LOW, _UP = regex.compile(r"\p{Ll}+"), regex.compile(r"\p{Lu}+")
+_CAPS = regex.compile(r"\p{Lu}{2,}\W+\p{Lu}{2,}\W+\p{Lu}{2,}")
+_WIDE = regex.compile(r"[。！？．｡।॥۔؟።။។]")
+_THAI = regex.compile(r"\p{Thai}")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]*")
+_ITEM = regex.compile(r"[IVXLC]+|\p{L}|\d+(?:\.\d+)*")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_SCALE = regex.compile(r"[CFKcfk]\b")
+_PRIOR = regex.compile(r"(\p{L}+)\s+$")
+_OPEN_END = regex.compile(r"([\p{L}\p{M}.]+)\.\s*$")
+_FINAL_END = regex.compile(r"([\p{L}\p{M}.]+)\.\W*$")
 _GERMAN = frozenset("ist wird wurde der das dem den des mit ohne nach während bleibt keine keinen und oder eine einer einem es im zum zur nennt sie".split())
 _GOES_ON = frozenset(GOES_ON.split())
 _ORDINAL = frozenset(BEFORE_ORDINAL.split())
@@ -71,10 +82,12 @@ _FUNCTION_END = regex.compile(r"(?i)\b(?:the|a|an|of|and|or|to|in|for|with|by|fr
 
 
 def _case(text: str) -> str:
-    """'mixed', or 'one' if all cased letters have the same case."""
-    upper = sum(1 for c in text if c.isupper())
-    lower = sum(1 for c in text if c.islower())
-    return "one" if lower + upper > 20 and (upper == 0 or lower < 0.05 * upper) else "mixed"
+    """'mixed', or 'one' if (nearly) all cased letters have the same case."""
+    low = text.lower()
+    if text == low:
+        return "one" if sum(map(len, _LOW.findall(text))) > 20 else "mixed"
+    lower, upper = sum(map(len, _LOW.findall(text))), sum(map(len, _UP.findall(text)))
+    return "one" if lower + upper > 20 and lower < 0.05 * upper else "mixed"
 
 
 def _regions(s: str) -> list[tuple[int, int]]:
@@ -108,13 +121,13 @@ def _regions(s: str) -> list[tuple[int, int]]:
 
 def _ends_open(s: str) -> bool:
     """True if the line ends with an abbreviation that wants something after it."""
-    m = regex.search(r"([\p{L}\p{M}.]+)\.\s*$", s)
+    m = _OPEN_END.search(s)
     return bool(m) and (m.group(1).lower() in _LEADING or len(m.group(1)) == 1 and m.group(1).islower())
 
 
 def _ends_final(s: str) -> bool:
     """True if the line ends with an abbreviation that may stand at a sentence's end, or inside a quote."""
-    m = regex.search(r"([\p{L}\p{M}.]+)\.\W*$", s)
+    m = _FINAL_END.search(s)
     return s.rstrip()[-1:] in "\"”»“’)" or bool(m) and (m.group(1).lower() in _FINAL or "." in m.group(1))
 
 
@@ -209,11 +222,13 @@ def _hard(prev: str, line: str, bare: str, width: int, reach: int, remark: bool,
     return not (full or running)
 
 
-def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int, mono: bool, remark: bool, german: bool) -> int | None:
+def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int, mono: bool, remark: bool, german: bool, caps: bool) -> int | None:
     """End of the sentence if the terminators of ``run`` end one, else None. ``sent``: its start in ``s``."""
     i, e = run.span()
     mark = run.group()
-    mono = mono or _case(s[max(sent, i - 50) : i + 50]) == "one"
+    if not mono:
+        near = s[max(sent, i - 50) : i + 50]
+        mono = (caps or near == near.lower()) and _case(near) == "one"
     sterm = _STERM.search(mark) is not None
     inside = [r for r in regions if r[0] < i <= r[1]]
     closed, at_start, bracket = False, False, False
@@ -245,14 +260,14 @@ def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int,
     caseless = _CASELESS.match(nxt) is not None
     if nxt in ",;:،，、；：" or nxt in "-–—" and not gap:
         return None
-    wide = regex.search(r"[。！？．｡।॥۔؟።။។]", mark) is not None
+    wide = _WIDE.search(mark) is not None
     if not gap and not wide and not caseless and not (nxt in _OPEN and sterm) and not (_GLUED.match(s, k) and (sterm or closed or _WORD_END.search(s[max(0, i - 24) : i]))):
         return None
     if not gap and nxt.isdigit() and "．" in mark:
         return None
     opener = nxt in _OPEN or nxt in "\"'¿¡‘"
     look = next((c for c in s[k : k + 6] if c.isalnum()), nxt)
-    word = regex.match(r"[\p{L}\p{M}]*", s[k:]).group().lower()
+    word = _LETTERS.match(s, k).group().lower()
     if closed:
         if caseless or _CASELESS.match(look):
             return e if bracket and at_start else None
@@ -272,13 +287,13 @@ def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int,
     low = unicodedata.normalize("NFC", token).lower().rstrip(".")
     if not token:
         return e
-    if sent + len(s[sent:i]) - len(s[sent:i].lstrip()) >= i - len(token) and (token.isdigit() or regex.fullmatch(r"[IVXLC]+|\p{L}|\d+(?:\.\d+)*", token)):
+    if sent + len(s[sent:i]) - len(s[sent:i].lstrip()) >= i - len(token) and (token.isdigit() or _ITEM.fullmatch(token)):
         return None  # the number or letter that begins an item
-    if low in _FINAL or "." in low and low not in _LEADING and regex.fullmatch(r"(?:\p{L}\.)+\p{L}", low):
+    if low in _FINAL or "." in low and low not in _LEADING and _DOTTED.fullmatch(low):
         if mono:
             return None if word in _GOES_ON or low == "deg" else e
         if low == "deg":
-            return None if regex.match(r"[CFKcfk]\b", s[k:]) else e
+            return None if _SCALE.match(s, k) else e
         return e if look.isupper() or look.isdigit() or caseless or opener or _STARTER.match(s, k) else None
     if low in _LEADING or any(m.start() < i < m.end() for m in _SEVERAL.finditer(s, max(0, i - 10), min(len(s), i + 8))):
         return None
@@ -289,7 +304,7 @@ def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int,
             return e if _UNIT_BEFORE.search(s[max(0, i - 8) : i - 1]) else None
         return e if look.isupper() or mono and word not in _GOES_ON else None
     if german and token.isdigit() and len(token) <= 2:
-        prior = regex.search(r"(\p{L}+)\s+$", s[max(0, i - len(token) - 24) : i - len(token)])
+        prior = _PRIOR.search(s[max(0, i - len(token) - 24) : i - len(token)])
         if prior and prior.group(1).lower() in _ORDINAL:
             return None
     return e
@@ -297,14 +312,14 @@ def _decide(s: str, run: regex.Match, regions: list[tuple[int, int]], sent: int,
 
 def _split(s: str, mono: bool, remark: bool, german: bool) -> Iterator[tuple[int, int]]:
     """Sentence spans of one block."""
-    regions = _regions(s)
-    gaps = [m for m in _THAI_GAP.finditer(s) if not any(o < m.start() < c for o, c in regions)] if regex.search(r"\p{Thai}", s) else []
+    regions, caps = _regions(s), _CAPS.search(s) is not None
+    gaps = [m for m in _THAI_GAP.finditer(s) if not any(o < m.start() < c for o, c in regions)] if _THAI.search(s) else []
     ends: list[tuple[int, int]] = sorted([(m.start(), m.start()) for m in gaps] + [(m.start(), -1) for m in _TERM.finditer(s)])
     start = 0
     for at, end in ends:
         if at < start:
             continue
-        e = end if end >= 0 else _decide(s, _TERM.match(s, at), regions, start, mono, remark, german)
+        e = end if end >= 0 else _decide(s, _TERM.match(s, at), regions, start, mono, remark, german, caps)
         if e is not None and e > start:
             yield start, e
             start = e
