@@ -14,7 +14,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -356,10 +357,13 @@ def sentence_spans(text: str | None, lang: str | None = None, section: str | Non
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", section_col: str = "section") -> DataFrame:
     """(id, start_pos, end_pos) of every sentence of every row; hint columns that are missing count as null."""
     hint = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    spans = F.pandas_udf(_spans_of, "array<struct<start_pos:int,end_pos:int>>")
-    one = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode(spans(F.col(text_col), hint(lang_col), hint(section_col))).alias("s"))
-    return one.select(id_col, F.col("s.start_pos").cast("bigint").alias("start_pos"), F.col("s.end_pos").cast("bigint").alias("end_pos"))
+    x = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), hint(lang_col).alias("lang"), hint(section_col).alias("section"))
+    return x.mapInArrow(_spans, f"_id {x.schema['_id'].dataType.simpleString()}, start_pos long, end_pos long").withColumnRenamed("_id", id_col)
 
 
-def _spans_of(text: pd.Series, lang: pd.Series, section: pd.Series) -> pd.Series:
-    return pd.Series([[{"start_pos": a, "end_pos": b} for a, b in sentence_spans(t, la, se)] for t, la, se in zip(text, lang, section)], dtype=object)
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [sentence_spans(*row) for row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+        owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        flat = np.fromiter((x for f in found for span in f for x in span), dtype=np.int64, count=2 * len(owner)).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["_id", "start_pos", "end_pos"])
