@@ -99,7 +99,9 @@ def split_records(raw: DataFrame, export_files: DataFrame, id_field: str = "Lens
     """Every record with its header's ``names``, the parsed ``fields`` (null if the quoting is broken), the class
     of each field and the first structural ``reason``. No row is lost and the raw text stays in place."""
     head, delims = headers(export_files)
-    head = small_side(head.select(*FILE, "delim", "names", "file_year"))
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    id_at = F.array_position(F.transform("names", plain), plain(F.lit(id_field))).cast("int")
+    head = small_side(head.select(*FILE, "delim", "names", "file_year", id_at.alias("id_at")))
     keep = [c for c in raw.columns if c in ("raw_id", *FILE, "record_no", "raw_text", "read_at")]
     x = raw.select(*keep).join(head, FILE, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     x = x.withColumn("parts", _fields(delims, F.regexp_replace(F.coalesce("raw_text", F.lit("")), "[\r\n]+$", "")))
@@ -108,8 +110,8 @@ def split_records(raw: DataFrame, export_files: DataFrame, id_field: str = "Lens
         .when(F.size("parts") > F.size("names"), "too_many_fields").when(F.size("parts") < F.size("names"), "too_few_fields")
     )
     x = x.withColumn("reason", reason).withColumn("fields", F.transform("parts", lambda p: strip(_unquoted(p)))).drop("parts")
-    bad_id = F.exists(F.arrays_zip("names", "fields"), lambda z: (z["names"] == id_field) & ~z["fields"].rlike(r"^\d{3}-\d{3}-\d{3}-\d{3}-\d{3}$"))
-    x = x.withColumn("bad_id", F.when(F.col("reason").isNull(), bad_id))
+    bad_id = F.when(F.col("id_at") > 0, ~F.get("fields", F.col("id_at") - 1).rlike(r"^\d{3}-\d{3}-\d{3}-\d{3}-\d{3}$")).otherwise(False)
+    x = x.withColumn("bad_id", F.when(F.col("reason").isNull(), bad_id)).drop("id_at")
     return x.withColumn("classes", F.when(F.col("reason").isNull(), F.transform("fields", value_class)))
 
 
