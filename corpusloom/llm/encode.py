@@ -1,7 +1,7 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer through a table of distinct words.
 
 The tokenizer's own pre-split runs in the JVM, each distinct word is encoded once, and the ids are joined back by
-position; decoding joins ids to their pieces. Word frequencies are heavy at the head, so the dictionary is joined
+position; decoding joins each id to its piece. Word frequencies are heavy at the head, so the dictionary is joined
 in two parts: the frequent words, of which there can be at most 1 / FREQUENT (50,000), are broadcast; the rest go
 through a shuffle join whose keys each hold less than that share of the rows. A null and an empty text have no words and get
 an empty list. Vocabulary files are read from a path on every worker and are never copied.
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
@@ -170,16 +170,36 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per.groupBy("_row", "_id").agg(F.sum("k").cast("bigint").alias("n_tokens")).select(F.col("_id").alias(id_col), "n_tokens")
 
 
-def pieces(spark: SparkSession, tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, piece) of the whole vocabulary, as bytes."""
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in _ranks(_path(tokenizer, folder)).items()], "id int, piece binary")
+def pieces(tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> pa.Array:
+    """The bytes of every id of the vocabulary, by id; the vocabulary's size bounds the table."""
+    ranks = _ranks(_path(tokenizer, folder))
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for piece, i in ranks.items():
+        table[i] = piece
+    return pa.array(table, type=pa.large_binary())
+
+
+def _texts(held) -> Callable:
+    """Joins each id to its piece (ids outside of the vocabulary: none) and the pieces of a record to its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value
+        for b in batches:
+            lists = b.column(1)
+            offs = lists.offsets.to_numpy()
+            flat = lists.values.slice(offs[0], offs[-1] - offs[0])
+            known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)
+            got = pc.fill_null(table.take(known), b"")
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(got).to_numpy(zero_copy_only=False).astype(np.int64))])[offs - offs[0]]
+            data = memoryview(b"".join(got.to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([str(data[i:j], "utf-8", "replace") for i, j in zip(ends[:-1], ends[1:])], type=pa.string())], ["_id", "text"])
+
+    return run
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer: str = DEFAULT, folder: str = TOKENIZERS) -> DataFrame:
-    """(id, text) by joining each id to its piece; the vocabulary's size bounds the broadcast. An empty list gives
-    an empty text."""
-    table = F.broadcast(pieces(encoded.sparkSession, tokenizer, folder))
-    one = encoded.select(id_col, F.posexplode("ids").alias("pos", "id")).join(table, "id")
-    whole = one.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))
-    text = whole.select(id_col, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")), "UTF-8").alias("text"))
-    return text.unionByName(encoded.where(F.size("ids") == 0).select(id_col, F.lit("").alias("text")))
+    """(id, text) by joining each id to its piece in the broadcast vocabulary, inside the task. A null or empty list
+    gives an empty text."""
+    held = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer, folder))
+    x = encoded.select(F.col(id_col).alias("_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return x.mapInArrow(_texts(held), f"_id {x.schema['_id'].dataType.simpleString()}, text string").withColumnRenamed("_id", id_col)
