@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z95 = 1.96
+#: Least kappa of each verbal band.
+KAPPA_BANDS = ((0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight"))
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -44,7 +46,7 @@ def kappa(yy: Column, nn: Column, yn: Column, ny: Column) -> Column:
 def kappa_band(k: Column) -> Column:
     """Verbal band of a kappa value."""
     c = F.when(k.isNull(), F.lit(None).cast("string"))
-    for floor, name in ((0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.0, "slight")):
+    for floor, name in KAPPA_BANDS:
         c = c.when(k >= floor, name)
     return c.otherwise("poor")
 

@@ -34,6 +34,7 @@ HINTS = [
 CANONICAL = {"DATAFLOW": "Dataflow", "NEUROMORPHIC": "Neuromorphic", "MEMORY": "Memory-centric", "PHOTONIC": "Photonic", "LOGIC": "Logic", "NONE": "NONE"}
 
 FIRST, LAST, COMPLETE_TO = 2010, 2024, 2022
+#: Score bands, half-open.
 BANDS = [(0.9, 1.01), (0.85, 0.9), (0.8, 0.85), (0.75, 0.8), (0.7, 0.75), (0.6, 0.7)]
 LOW_BANDS = [(0.6, 1.01), (0.5, 0.6), (0.4, 0.5), (0.3, 0.4), (0.2, 0.3), (0.0, 0.2)]
 KEPT_TYPES = ("patent application", "granted patent", "amended application")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.operators.dedup import union_shared
 
-#: Trial order of encodings; the last one takes any byte.
+#: Trial order of encodings; the last one takes any byte.
 ENCODINGS = ("utf-8", "utf-8-sig", "cp1252", "latin-1")
 EXTRA, BAD = "_extra", "_bad"
 
