@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.measure import eta_squared
+from corpusloom.session import running_total
 
 #: Most rows that the density clustering takes on one machine: it needs their distances in memory.
 MAX_ROWS = 20_000
@@ -270,13 +271,12 @@ def ablation(df: DataFrame, id_col: str, views: dict[str, str], base: dict[str,
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Spearman's rank correlation with average ranks for ties. Ranks come from the counts of the values, so equal
-    values are one row of the windows."""
+    """Spearman's rank correlation with average ranks for ties. Ranks come from the counts of the distinct values,
+    summed up range by range."""
 
     def ranked(x: DataFrame, c: str, out: str) -> DataFrame:
-        n = x.groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c))
-        return x.join(n.select(c, (upto - (F.col("_n") - 1) / 2).alias(out)), c)
+        n = running_total(x.groupBy(c).agg(F.count("*").alias("_n")), c, "_n", "_upto")
+        return x.join(n.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), c)
 
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     return ranked(ranked(x, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))

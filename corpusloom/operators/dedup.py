@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.functions.stats import percent
 
@@ -79,8 +78,9 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, n, pct) of each value, null included, most frequent first."""
+    total = df.count()
     t = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return t.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy()))).orderBy(F.desc("n"), F.asc_nulls_last("value"))
+    return t.withColumn("pct", percent(F.col("n"), F.lit(total))).orderBy(F.desc("n"), F.asc_nulls_last("value"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

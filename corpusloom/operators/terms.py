@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corpusloom.session import top_per_group
 
 #: Common English words that are no terms.
 STOP_WORDS = "a an and are as at be been before but by can each every first for from has have if in into is it its more no nor not of on or one other out over second so some such than that the their them then there these this those to under was were when where which while with without".split()
@@ -29,12 +30,11 @@ def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
     tf = with_terms(df.select(group, id_col, F.col(text).alias("_t")), "_t", "_terms").select(group, id_col, F.explode("_terms").alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy(group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    w = Window.partitionBy(group).orderBy(F.desc("total"), "term")
-    vocab = stat.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_terms).join(n, group).select(group, "term", "_n", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocab = top_per_group(stat, group, [F.desc("total"), "term"], max_terms, "term").join(n, group).select(group, "term", "_n", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     x = tf.join(vocab, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = x.groupBy(group, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
     mean = x.join(norm, [group, id_col]).groupBy(group, "term", "_n").agg((F.sum(F.col("w") / F.col("_len")) / F.col("_n")).alias("weight"))
-    best = mean.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round("weight", 9)), "term"))).where(F.col("rank") <= k)
+    best = top_per_group(mean, group, [F.desc(F.round("weight", 9)), "term"], k, "term")
     return best.select(group, "rank", "term", "weight")
 
 

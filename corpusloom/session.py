@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +28,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with the inclusive running sum of ``value`` in the order of the (distinct) values of ``order``.
+
+    Ranges of the order go to tasks of their own; the driver holds one sum per range."""
+    x = cut_lineage(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    offsets, total = [], 0
+    for r in sorted(x.groupBy("_part").agg(F.sum(value).alias("s")).collect(), key=lambda r: r["_part"]):
+        offsets.append((r["_part"], total))
+        total += r["s"]
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _before long"))
+    w = Window.partitionBy("_part").orderBy(order)
+    return x.join(table, "_part").withColumn(out, F.col("_before") + F.sum(value).over(w)).drop("_part", "_before")
+
+
+def top_per_group(df: DataFrame, group: str, order: list, k: int, spread: str, salts: int = 64) -> DataFrame:
+    """``df`` cut to the first ``k`` rows of each group with ``rank`` from 1. Each (group, salt of ``spread``) is cut
+    first, so that no task sees more of a group than its salt's share and salts * k rows."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+    first = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).where(F.col("_r") <= k)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k).drop("_r", "_salt")
+
+
 def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
 
