@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.blocks import BLOCK_BYTES, distance_sums, spread
 from corpusloom.operators.measure import eta_squared
-from corpusloom.session import running_total
+from corpusloom.session import cut_lineage, running_total
 
 #: Most rows that the density clustering takes on one machine: it needs their distances in memory.
 MAX_ROWS = 20_000
@@ -165,40 +166,33 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.when(most == expected, 1.0).otherwise((F.col("pc") - expected) / (most - expected)).alias("ari"), F.when(ha + hb <= 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), mi) / ((ha + hb) / 2)).alias("nmi"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, noise: int = -1, most: int = MAX_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette of the non-noise rows, exact over a drawn sample of at most ``most`` rows (all rows
-    if there are no more). Null with fewer than two clusters. Members of clusters of one count 0.
-
-    The sampled rows are the stated query set; they are compared with all sampled rows in NumPy blocks."""
-    from corpusloom.operators.sampling import draw_key
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, noise: int = -1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Mean Euclidean silhouette of all non-noise rows. Null with fewer than two clusters. Members of clusters of one
+    count 0.
 
+    Every row is compared with all rows, a block of at most ``block_bytes`` at a time; a block leaves one sum of
+    distances per row and cluster, and the sums are merged per row. The driver holds the clusters' sizes."""
     spark = df.sparkSession
     x = df.where((F.col(cluster) != noise) & F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"), F.col(cluster).alias("c"))
-    drawn = x.orderBy(draw_key("id"), "id").limit(most).toPandas().sort_values("id")
-    names = sorted(drawn["c"].unique())
-    if len(names) < 2:
+    x = cut_lineage(spread(x))
+    sizes = x.groupBy("c").agg(F.count("*").alias("n")).orderBy("c").collect()
+    if len(sizes) < 2:
         return spark.createDataFrame([(None,)], "silhouette double")
-    mat = np.array(drawn["v"].tolist(), dtype=float)
-    code = np.searchsorted(names, drawn["c"].to_numpy())
-    held = spark.sparkContext.broadcast((mat, code, np.bincount(code)))
+    codes = spark.createDataFrame([(r["c"], i) for i, r in enumerate(sizes)], x.select("c", F.lit(0).alias("i")).schema)
+    size = np.array([r["n"] for r in sizes])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, c, size = held.value
-        hot = np.eye(len(size))[c]
         for p in batches:
-            i = p["i"].to_numpy()
-            d = np.sqrt(np.maximum(0.0, ((m[i] ** 2).sum(1)[:, None] + (m**2).sum(1)[None, :]) - 2 * m[i] @ m.T))
-            d[np.arange(len(i)), i] = 0.0
-            sums, own = d @ hot, c[i]
-            at = np.arange(len(i))
+            if not len(p):
+                continue
+            sums, own, at = np.array(p["s"].tolist()), p["i"].to_numpy(dtype=int), np.arange(len(p))
             a = sums[at, own] / np.maximum(size[own] - 1, 1)
             mean = sums / size
             mean[at, own] = np.inf
             b = mean.min(1)
             yield pd.DataFrame({"s": np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)})
 
-    rows = spark.range(len(drawn)).select(F.col("id").alias("i"))
-    return rows.mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+    return distance_sums(x, codes, block_bytes).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def grid(df: DataFrame, id_col: str, vec: str, sizes: list[int], samples: list[int]) -> DataFrame:

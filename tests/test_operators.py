@@ -178,3 +178,36 @@ def test_encoders(spark):
     assert embed.hashed_tfidf(x, "id", "t", 8).count() == 2
     view, names = embed.code_view(spark.createDataFrame([(1, "AAAA1;;BBBB2"), (2, None)], "id long, c string"), "id", "c", 4)
     assert names == ["AAAA", "BBBB"] and {r["id"]: [round(v, 3) for v in r["codes_view"]] for r in view.collect()} == {1: [0.707, 0.707], 2: [0.0, 0.0]}
+
+
+def brute_silhouette(m, c):
+    d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(2))
+    out = []
+    for i in range(len(m)):
+        own = (c == c[i]).sum()
+        b = min(d[i, c == k].mean() for k in set(c) - {c[i]})
+        a = d[i, c == c[i]].sum() / max(own - 1, 1)
+        out.append((b - a) / max(a, b) if own > 1 else 0.0)
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 256])
+def test_silhouette_against_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    c = np.array([i % 3 for i in range(60)] + [7])
+    m = rng.normal(size=(61, 2)) + c[:, None]
+    rows = [(i, [float(v) for v in m[i]], int(c[i])) for i in range(61)] + [(98, [0.0, 0.0], -1), (99, None, 0)]
+    x = spark.createDataFrame(rows, "id long, v array<double>, c int")
+    assert cluster.silhouette(x, "id", "v", "c", block_bytes=block).first()["silhouette"] == pytest.approx(brute_silhouette(m, c))
+    assert cluster.silhouette(x.where("c = 1"), "id", "v", "c").first()["silhouette"] is None
+
+
+def test_silhouette_takes_all_rows(spark):
+    n = 20_002  # two points and one far row each: a sample of 20,000 would miss rows
+    x = spark.range(n).select("id", F.when(F.col("id") < n - 2, F.array(F.lit(0.0))).otherwise(F.array(F.lit(1.0))).alias("v"), F.when(F.col("id") % 2 == 0, 0).otherwise(1).alias("c"))
+    half, s = n // 2, []
+    for far in (False, True):
+        a, b = ((half - 1) / (half - 1), (half - 1) / half) if far else (1 / (half - 1), 1 / half)
+        s.append((b - a) / max(a, b))
+    want = ((n - 2) * s[0] + 2 * s[1]) / n
+    assert cluster.silhouette(x, "id", "v", "c").first()["silhouette"] == pytest.approx(want, rel=1e-9)
