@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators import density
 from corpusloom.operators.blocks import BLOCK_BYTES, distance_sums, spread
 from corpusloom.operators.measure import eta_squared
 from corpusloom.session import cut_lineage, running_total
 
-#: Most rows that the density clustering takes on one machine: it needs their distances in memory.
-MAX_ROWS = 20_000
-
-
 def reduce_dimensions(df: DataFrame, vec: str, k: int) -> DataFrame:
     """``df`` with ``reduced``: principal components. Rows with a null vector are left out."""
     x = df.where(F.col(vec).isNotNull()).withColumn("_v", array_to_vector(F.transform(vec, lambda t: t.cast("double"))))
@@ -28,116 +25,28 @@ def reduce_dimensions(df: DataFrame, vec: str, k: int) -> DataFrame:
 
 
 def density_clusters(points: np.ndarray, min_size: int = 50, min_samples: int = 5) -> np.ndarray:
-    """Hierarchical density clusters: labels from 0, noise -1.
+    """Hierarchical density clusters of points in memory: labels from 0, noise -1.
 
     Mutual reachability distances, their minimum spanning tree, the tree condensed by ``min_size``, and the clusters
-    of greatest excess of mass. For at most MAX_ROWS points."""
+    of greatest excess of mass. Memory grows with the points, not with their square."""
     n = len(points)
-    if n > MAX_ROWS:
-        raise ValueError(f"density_clusters takes at most {MAX_ROWS} points, got {n}")
     if n < max(2, min_size):
         return np.full(n, -1)
-    sq = (points**2).sum(1)
-    dist = np.sqrt(np.maximum(0.0, sq[:, None] + sq[None, :] - 2 * points @ points.T))
-    core = np.partition(dist, min(min_samples, n - 1), axis=1)[:, min(min_samples, n - 1)]
-    reach = np.maximum(np.maximum(dist, core[:, None]), core[None, :])
-    # minimum spanning tree, one vertex at a time
-    near, frm, done, edges = reach[0].copy(), np.zeros(n, dtype=int), np.zeros(n, dtype=bool), []
-    done[0] = True
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(done, np.inf, near)))
-        edges.append((near[j], frm[j], j))
-        done[j] = True
-        closer = reach[j] < near
-        near[closer], frm[closer] = reach[j][closer], j
-    # dendrogram: node n + i joins two nodes at a distance
-    parent, size, left, right, height = list(range(2 * n - 1)), [1] * n, [], [], []
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for i, (d, a, b) in enumerate(sorted(edges)):
-        ra, rb = root(int(a)), root(int(b))
-        left.append(ra)
-        right.append(rb)
-        height.append(d)
-        size.append(size[ra] + size[rb])
-        parent[ra] = parent[rb] = n + i
-
-    def leaves(node: int) -> list[int]:
-        out, todo = [], [node]
-        while todo:
-            t = todo.pop()
-            if t < n:
-                out.append(t)
-            else:
-                todo += [left[t - n], right[t - n]]
-        return out
-
-    # condensed tree: a cluster lives from the density of its birth; points fall off or it splits
-    births, stable, children, members = [0.0], [0.0], {0: []}, {0: []}
-    todo = [(2 * n - 2, 0)]
-    while todo:
-        node, c = todo.pop()
-        if node < n:
-            members[c].append(node)
-            continue
-        lam = 1.0 / max(height[node - n], 1e-12)
-        a, b = left[node - n], right[node - n]
-        big = [t for t in (a, b) if size[t] >= min_size]
-        if len(big) == 2:
-            stable[c] += (lam - births[c]) * (size[a] + size[b])
-            for t in big:
-                births.append(lam)
-                stable.append(0.0)
-                k = len(births) - 1
-                children[c].append(k)
-                children[k], members[k] = [], []
-                todo.append((t, k))
-        else:
-            for t in (a, b):
-                if t in big:
-                    todo.append((t, c))
-                else:
-                    stable[c] += (lam - births[c]) * size[t]
-                    members[c] += leaves(t)
-    chosen, value = {}, list(stable)
-    for c in range(len(births) - 1, -1, -1):
-        below = sum(value[k] for k in children[c])
-        chosen[c] = c != 0 and stable[c] >= below
-        value[c] = stable[c] if chosen[c] else below
-    labels, todo2, k = np.full(n, -1), [(0, False)], 0
-    while todo2:
-        c, inside = todo2.pop()
-        if chosen[c] and not inside:
-            part, stack = [], [c]
-            while stack:
-                t = stack.pop()
-                part += members[t]
-                stack += children[t]
-            labels[part] = k
-            k += 1
-        else:
-            todo2 += [(t, inside) for t in reversed(children[c])]
-    return labels
-
-
-def cluster_table(df: DataFrame, id_col: str, vec: str, min_size: int, min_samples: int) -> DataFrame:
-    """(id, cluster) by density clustering. The one exact kernel that must see all points: it runs in a single task
-    over at most MAX_ROWS rows and refuses more; larger inputs are clustered by ``kmeans``."""
-    x = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v"))
-    n = x.limit(MAX_ROWS + 1).count()
-    if n > MAX_ROWS:
-        raise ValueError(f"cluster_table takes at most {MAX_ROWS} rows; use kmeans")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"id": pdf["id"], "cluster": density_clusters(np.array(pdf["v"].tolist(), dtype=float), min_size, min_samples)})
-
-    return x.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(run, "id long, cluster int").withColumnRenamed("id", id_col)
+    points = np.asarray(points, dtype=float)
+    core = density.nearest(points, points, min_samples + 1)[:, -1]
+    return density.condensed(n, *density.forest(*density.tree(points, core)), min_size)
+
+
+def cluster_table(df: DataFrame, id_col: str, vec: str, min_size: int, min_samples: int, block_rows: int = density.BLOCK_ROWS) -> DataFrame:
+    """(id, cluster) by density clustering of all rows with a vector, as ``density_clusters`` of them in the order of
+    their (distinct) ids. Distances are taken in blocks; only the n - 1 edges of the spanning tree meet in one task."""
+    x = _points(df, id_col, vec)
+    labels = density.tree_labels(x, density.spanning_tree(x, min_samples, block_rows), [min_size])
+    return labels.select(F.col("id").alias(id_col), "cluster")
+
+
+def _points(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return cut_lineage(spread(df.where(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))))
 
 
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int, seed: int = 42) -> DataFrame:
@@ -195,41 +104,20 @@ def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, noise: int =
     return distance_sums(x, codes, block_bytes).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-def grid(df: DataFrame, id_col: str, vec: str, sizes: list[int], samples: list[int]) -> DataFrame:
+def grid(df: DataFrame, id_col: str, vec: str, sizes: list[int], samples: list[int], block_rows: int = density.BLOCK_ROWS) -> DataFrame:
     """Density clustering for every (min_size, min_samples): clusters, noise share, largest share, silhouette.
 
-    One task per configuration over the same bounded points (at most MAX_ROWS). Configurations with fewer than two
-    clusters are left out."""
-    pdf = df.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec).alias("v")).limit(MAX_ROWS + 1).toPandas().sort_values("id")
-    if len(pdf) > MAX_ROWS:
-        raise ValueError(f"grid takes at most {MAX_ROWS} rows")
-    spark = df.sparkSession
-    held = spark.sparkContext.broadcast(np.array(pdf["v"].tolist(), dtype=float))
-
-    def run(conf: pd.DataFrame) -> pd.DataFrame:
-        ms, mp = int(conf["min_size"].iloc[0]), int(conf["min_samples"].iloc[0])
-        m = held.value
-        lab = density_clusters(m, ms, mp)
-        k = int(lab.max()) + 1 if len(lab) else 0
-        if k < 2:
-            return pd.DataFrame({"min_size": [], "min_samples": [], "k": [], "noise_pct": [], "largest_pct": [], "silhouette": []})
-        on = lab >= 0
-        return pd.DataFrame({"min_size": [ms], "min_samples": [mp], "k": [k], "noise_pct": [100 * float((~on).mean())], "largest_pct": [100 * np.bincount(lab[on]).max() / len(lab)], "silhouette": [_silhouette(m[on], lab[on])]})
-
-    confs = spark.createDataFrame([(a, b) for a in sizes for b in samples], "min_size int, min_samples int")
-    return confs.groupBy("min_size", "min_samples").applyInPandas(run, "min_size int, min_samples int, k int, noise_pct double, largest_pct double, silhouette double")
-
-
-def _silhouette(m: np.ndarray, lab: np.ndarray) -> float:
-    size = np.bincount(lab)
-    sq = (m**2).sum(1)
-    d = np.sqrt(np.maximum(0.0, sq[:, None] + sq[None, :] - 2 * m @ m.T))
-    sums, at = d @ np.eye(len(size))[lab], np.arange(len(lab))
-    a = sums[at, lab] / np.maximum(size[lab] - 1, 1)
-    mean = sums / size
-    mean[at, lab] = np.inf
-    b = mean.min(1)
-    return float(np.where(size[lab] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).mean())
+    One spanning tree of all rows for each min_samples; the driver loops over configurations, not over data.
+    Configurations with fewer than two clusters are left out."""
+    x, out = _points(df, id_col, vec), []
+    n = x.count()
+    for mp in dict.fromkeys(samples):
+        labels = cut_lineage(density.tree_labels(x, density.spanning_tree(x, mp, block_rows), list(dict.fromkeys(sizes))))
+        of = labels.where("cluster >= 0").groupBy("min_size", "cluster").agg(F.count("*").alias("n"))
+        for r in of.groupBy("min_size").agg(F.count("*").alias("k"), F.sum("n").alias("on"), F.max("n").alias("most")).where("k >= 2").orderBy("min_size").collect():
+            s = silhouette(x.join(labels.where(F.col("min_size") == r["min_size"]), "id"), "id", "v", "cluster").first()["silhouette"]
+            out.append((r["min_size"], mp, r["k"], 100 * (n - r["on"]) / n, 100 * r["most"] / n, s))
+    return df.sparkSession.createDataFrame(out, "min_size int, min_samples int, k int, noise_pct double, largest_pct double, silhouette double")
 
 
 def select_configurations(rows: DataFrame, by: list[str], least: int = 15, most: int = 40, too_large: float = 40.0) -> DataFrame:

@@ -211,3 +211,26 @@ def test_silhouette_takes_all_rows(spark):
         s.append((b - a) / max(a, b))
     want = ((n - 2) * s[0] + 2 * s[1]) / n
     assert cluster.silhouette(x, "id", "v", "c").first()["silhouette"] == pytest.approx(want, rel=1e-9)
+
+
+def test_density_blocks_give_the_same_labels(spark):
+    rng = np.random.default_rng(5)
+    m = np.round(np.concatenate([rng.normal(c, 0.3, size=(40, 2)) for c in ((0, 0), (5, 0), (0, 5))] + [rng.uniform(-9, 9, size=(20, 2))]), 1)  # many equal distances
+    x = spark.createDataFrame([(i * 7, [float(v) for v in m[i]]) for i in range(len(m))] + [(-1, None)], "id long, v array<double>")
+    want = cluster.density_clusters(m, 15, 4)
+    assert want.max() >= 2
+    for rows in (4096, 30):
+        got = cluster.cluster_table(x, "id", "v", 15, 4, block_rows=rows).orderBy("id").collect()
+        assert [r["id"] for r in got] == [i * 7 for i in range(len(m))] and [r["cluster"] for r in got] == want.tolist()
+    a, b = ({tuple(round(v, 9) for v in r) for r in cluster.grid(x, "id", "v", [5, 15], [3, 4], block_rows=rows).collect()} for rows in (4096, 30))
+    row = {r[:2]: r for r in a}[15, 4]
+    assert a == b and row[2] == want.max() + 1 and row[3] == pytest.approx(100 * (want < 0).mean()) and row[5] == pytest.approx(brute_silhouette(m[want >= 0], want[want >= 0]))
+    assert [r["cluster"] for r in cluster.cluster_table(x.where("id in (0, 7)"), "id", "v", 15, 4).collect()] == [-1, -1]
+    assert cluster.cluster_table(x.where("id = 0"), "id", "v", 15, 4).collect()[0]["cluster"] == -1
+
+
+def test_density_refuses_no_number_of_rows(spark):
+    rows = 20_001  # one more than was taken before
+    x = spark.range(rows).select("id", F.array((F.col("id") % 2) * 1e6 + F.col("id") / 2.0).alias("v"))
+    got = {(r["odd"], r["cluster"]): r["n"] for r in cluster.cluster_table(x, "id", "v", 50, 5).groupBy((F.col("id") % 2).alias("odd"), "cluster").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == 2 and sorted(got.values()) == [10_000, 10_001] and len({c for _, c in got}) == 2 and min(c for _, c in got) >= 0
