@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ def hashed_tfidf(df: DataFrame, id_col: str, text: str, dims: int = 256) -> Data
     x = with_terms(df.select(F.col(id_col), F.col(text).alias("_t")), "_t", "terms").drop("_t")
     tf = HashingTF(numFeatures=dims, inputCol="terms", outputCol="tf").transform(x)
     v = IDF(inputCol="tf", outputCol="v").fit(tf).transform(tf)
-    return v.select(id_col, l2_normalise(vector_to_array("v")).alias("embedding"))
+    return Normalizer(inputCol="v", outputCol="u").transform(v).select(id_col, vector_to_array("u").alias("embedding"))
 
 
 def code_view(df: DataFrame, id_col: str, codes: str, length: int = 8) -> tuple[DataFrame, list[str]]:

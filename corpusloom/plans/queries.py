@@ -553,7 +553,8 @@ def centroid_medians(spark, d):
 
 @query
 def hashed_embedding(spark, d):
-    return embed.hashed_tfidf(records(spark, d).where("title is not null"), "rec_id", "title", 64)
+    x = records(spark, d)
+    return embed.hashed_tfidf(x.select("rec_id", text.title_and_body(x["title"], x["abstract"]).alias("text")), "rec_id", "text")
 
 
 @query

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import cluster, dedup, embed, evidence, measure, sampling, terms, validate, vectors
 from corpusloom.operators.evidence import RuleOptions, Taxonomy, Vocabulary
+from corpusloom.plans.queries import QUERIES
 
 V = Vocabulary(("G06N3/06",), ("G06N",), ("G06N10",), ("G11C",), r"\b(?:neural network|synaptic)\b", r"\b(?:systolic|tensor\s+comput)\b", r"\b(?:accelerator|crossbar)\b", r"\b(?:memory)\b", r"\b(?:qubit|etching process)\b")
 
@@ -234,3 +235,17 @@ def test_density_refuses_no_number_of_rows(spark):
     x = spark.range(rows).select("id", F.array((F.col("id") % 2) * 1e6 + F.col("id") / 2.0).alias("v"))
     got = {(r["odd"], r["cluster"]): r["n"] for r in cluster.cluster_table(x, "id", "v", 50, 5).groupBy((F.col("id") % 2).alias("odd"), "cluster").agg(F.count("*").alias("n")).collect()}
     assert len(got) == 2 and sorted(got.values()) == [10_000, 10_001] and len({c for _, c in got}) == 2 and min(c for _, c in got) >= 0
+
+
+def test_hashed_embedding_is_of_all_records(spark, data):
+    x = QUERIES["hashed_embedding"](spark, data).collect()
+    assert len(x) == spark.read.parquet(f"{data}/stage1_corpus.parquet").count() and {len(r["embedding"]) for r in x} == {256}
+    assert {round(float(np.linalg.norm(r["embedding"])), 6) for r in x} <= {0.0, 1.0}
+
+
+def test_hashed_embedding_reads_the_abstract(spark, tmp_path):
+    rows = [(1, "crossbar", "memory"), (2, "crossbar", "logic"), (3, None, "memory"), (4, None, None)]
+    spark.createDataFrame(rows, "rec_id long, title string, abstract string").write.parquet(f"{tmp_path}/stage1_corpus.parquet")
+    v = {r["rec_id"]: np.array(r["embedding"]) for r in QUERIES["hashed_embedding"](spark, str(tmp_path)).collect()}
+    assert sorted(v) == [1, 2, 3, 4] and not v[4].any() and np.linalg.norm(v[3]) == pytest.approx(1.0)
+    assert v[1] @ v[3] > 0 and v[1] @ v[2] < 0.999
