@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import code_slices, split_codes
 from corpusloom.operators.terms import with_terms
-from corpusloom.operators.vectors import l2_normalise
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -41,8 +40,11 @@ def hashed_tfidf(df: DataFrame, id_col: str, text: str, dims: int = 256) -> Data
 def code_view(df: DataFrame, id_col: str, codes: str, length: int = 8) -> tuple[DataFrame, list[str]]:
     """(id, codes_view) with one 0/1 place per distinct code head in sorted order, of unit length, and the order.
 
-    The driver holds the distinct heads, which the classification bounds; the matrix stays distributed."""
+    The driver holds the distinct heads, which the classification bounds; each record looks its own heads up in their
+    index, and the matrix stays distributed."""
     x = df.select(F.col(id_col), code_slices(split_codes(F.col(codes)), length).alias("_c"))
     names = [r[0] for r in x.select(F.explode("_c").alias("c")).distinct().orderBy("c").collect()]
-    hot = F.array(*[F.array_contains("_c", n).cast("double") for n in names]) if names else F.array().cast("array<double>")
-    return x.select(id_col, l2_normalise(hot).alias("codes_view")), names
+    if not names:
+        return x.select(id_col, F.array().cast("array<double>").alias("codes_view")), names
+    hot = CountVectorizerModel.from_vocabulary(names, inputCol="_c", outputCol="_h").setBinary(True).transform(x.withColumn("_c", F.coalesce("_c", F.array().cast("array<string>"))))
+    return Normalizer(inputCol="_h", outputCol="_u").transform(hot).select(id_col, vector_to_array("_u").alias("codes_view")), names

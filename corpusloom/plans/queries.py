@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates, stats, text
 from corpusloom.operators import cluster, dedup, embed, evidence, measure, raw_records, sampling, terms, validate, vectors
 from corpusloom.plans import vocab as V
-from corpusloom.session import read, shared_folder
+from corpusloom.session import cut_lineage, read, shared_folder
 from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,7 +559,7 @@ def hashed_embedding(spark, d):
 
 @query
 def code_view(spark, d):
-    return embed.code_view(records(spark, d), "rec_id", "cpc_codes", 4)[0]
+    return embed.code_view(records(spark, d), "rec_id", "cpc_codes")[0]
 
 
 @query
@@ -575,7 +575,7 @@ def kmeans_clusters(spark, d):
 
 def _grid(spark, d) -> DataFrame:
     red = cluster.reduce_dimensions(read(spark, d, "embeddings"), "embedding", 5)
-    return cluster.grid(red, "vec_id", "reduced", [5, 10, 20], [3, 5])
+    return cluster.grid(red, "vec_id", "reduced", [5, 10, 20, 75, 100, 150, 200, 300], [3, 5, 10, 20])
 
 
 @query
@@ -591,7 +591,10 @@ def grid_select(spark, d):
 @query
 def view_ablation(spark, d):
     e = read(spark, d, "embeddings").withColumn("sem", vectors.l2_normalise(F.col("embedding"))).withColumn("y", (2010 + F.col("vec_id") % 7).cast("double")).withColumn("time", F.array((F.col("y") - 2010) / 6))
-    return cluster.ablation(e, "vec_id", {"semantic": "sem", "temporal": "time"}, {"semantic": 1.0, "temporal": 0.15}, {"temporal": [0.0, 0.6]}, "y", 5, 15, 5)
+    coded = e.select("vec_id").join(records(spark, d).select(F.col("rec_id").alias("vec_id"), "cpc_codes"), "vec_id", "left")
+    e = cut_lineage(e.join(embed.code_view(coded, "vec_id", "cpc_codes")[0], "vec_id"))
+    views, base = {"semantic": "sem", "codes": "codes_view", "temporal": "time"}, {"semantic": 1.0, "codes": 0.3, "temporal": 0.0}
+    return cluster.ablation(e, "vec_id", views, base, {"temporal": [0.0, 0.05, 0.15, 0.3, 0.6], "codes": [0.0, 0.15, 0.3, 0.6]}, "y", 5, 15, 5)
 
 
 @query

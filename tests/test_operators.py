@@ -249,3 +249,19 @@ def test_hashed_embedding_reads_the_abstract(spark, tmp_path):
     v = {r["rec_id"]: np.array(r["embedding"]) for r in QUERIES["hashed_embedding"](spark, str(tmp_path)).collect()}
     assert sorted(v) == [1, 2, 3, 4] and not v[4].any() and np.linalg.norm(v[3]) == pytest.approx(1.0)
     assert v[1] @ v[3] > 0 and v[1] @ v[2] < 0.999
+
+
+def test_code_view_has_main_groups(spark, data):
+    x = spark.read.parquet(f"{data}/stage1_corpus.parquet").select("rec_id", "cpc_codes").collect()
+    heads = {r["rec_id"]: {c.strip()[:8] for c in (r["cpc_codes"] or "").split(";;") if len(c.strip()) >= 8} for r in x if not (r["cpc_codes"] or "").lstrip().startswith("[")}
+    got = {r["rec_id"]: r["codes_view"] for r in QUERIES["code_view"](spark, data).collect()}
+    assert len(got) == len(x) and len({len(v) for v in got.values()}) == 1
+    for i, h in heads.items():
+        assert [round(v, 9) for v in got[i] if v] == [round(max(1, len(h)) ** -0.5, 9)] * len(h)
+    assert embed.code_view(spark.createDataFrame([(1, None)], "id long, c string"), "id", "c")[0].first()["codes_view"] == []
+
+
+def test_ablation_has_all_views_and_weights(spark, data):
+    got = {(r["view"], r["weight"]): r for r in QUERIES["view_ablation"](spark, data).collect()}
+    assert sorted(got) == [("codes", 0.0), ("codes", 0.15), ("codes", 0.3), ("codes", 0.6), ("temporal", 0.0), ("temporal", 0.05), ("temporal", 0.15), ("temporal", 0.3), ("temporal", 0.6)]
+    assert got["codes", 0.0]["ari_vs_zero"] == pytest.approx(1.0)
