@@ -26,7 +26,8 @@ def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min
 
     Per group: terms in at least ``min_df`` texts, of these the ``max_terms`` most frequent; idf = ln((1 + n) /
     (1 + df)) + 1; each text's weights have length 1. A group without such terms gives no row. Ties by term. Terms
-    are counted per text before any shuffle by group."""
+    are counted per text before any shuffle by group. Texts without a group are a group of their own."""
+    df = df.select(F.struct(F.col(group).alias("is")).alias(group), id_col, text)  # a struct equals another with null inside
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
     tf = with_terms(df.select(group, id_col, F.col(text).alias("_t")), "_t", "_terms").select(group, id_col, F.explode("_terms").alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy(group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
@@ -35,7 +36,7 @@ def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min
     norm = x.groupBy(group, id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
     mean = x.join(norm, [group, id_col]).groupBy(group, "term", "_n").agg((F.sum(F.col("w") / F.col("_len")) / F.col("_n")).alias("weight"))
     best = top_per_group(mean, group, [F.desc(F.round("weight", 9)), "term"], k, "term")
-    return best.select(group, "rank", "term", "weight")
+    return best.select(F.col(group)["is"].alias(group), "rank", "term", "weight")
 
 
 def cluster_names(df: DataFrame, group: str, id_col: str, text: str, manual: dict[int, str] | None = None, k: int = 2) -> DataFrame:
@@ -44,4 +45,4 @@ def cluster_names(df: DataFrame, group: str, id_col: str, text: str, manual: dic
     given = F.lit(None).cast("string")
     for c, name in (manual or {}).items():
         given = F.when(F.col(group) == c, name).otherwise(given)
-    return df.select(group).distinct().join(top, group, "left").select(group, F.coalesce(given, F.col("terms"), F.concat(F.lit("C"), F.col(group).cast("string"))).alias("name"))
+    return df.select(group).distinct().join(top.withColumnRenamed(group, "_of"), F.col(group).eqNullSafe(F.col("_of")), "left").select(group, F.coalesce(given, F.col("terms"), F.concat(F.lit("C"), F.col(group).cast("string"))).alias("name"))

@@ -602,9 +602,15 @@ def tfidf_top_terms(spark, d):
     return rounded(terms.top_terms(read(spark, d, "documents").where("lang = 'en' and section is not null"), "section", "doc_id", "text"), "weight")
 
 
+@query
+def section_top_terms(spark, d):
+    """As tfidf_top_terms, which SQL checks on English texts, but over all documents; no section is a group too."""
+    return rounded(terms.top_terms(read(spark, d, "documents"), "section", "doc_id", "text"), "weight")
+
+
 @query
 def cluster_names(spark, d):
-    x = read(spark, d, "documents").where("lang = 'en' and section is not null")
+    x = read(spark, d, "documents")
     return terms.cluster_names(x.withColumn("c", F.when(F.col("section") == "claims", 1).otherwise(0)), "c", "doc_id", "text", {1: "claims"})
 
 

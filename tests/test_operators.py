@@ -265,3 +265,14 @@ def test_ablation_has_all_views_and_weights(spark, data):
     got = {(r["view"], r["weight"]): r for r in QUERIES["view_ablation"](spark, data).collect()}
     assert sorted(got) == [("codes", 0.0), ("codes", 0.15), ("codes", 0.3), ("codes", 0.6), ("temporal", 0.0), ("temporal", 0.05), ("temporal", 0.15), ("temporal", 0.3), ("temporal", 0.6)]
     assert got["codes", 0.0]["ari_vs_zero"] == pytest.approx(1.0)
+
+
+def test_terms_are_of_all_documents(spark, tmp_path):
+    rows = [(i, "a", "en", "crossbar") for i in range(3)] + [(9, "a", "en", "memory crossbar"), (10, "a", "EN", "memory"), (11, "a", None, "memory"), (12, "b", "de", None)] + [(i, None, "de", "Speicherzelle") for i in range(20, 24)] + [(i, "c", "ja", "メモリ") for i in range(30, 33)]
+    spark.createDataFrame(rows, "doc_id long, section string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["section"], r["term"]): r["weight"] for r in QUERIES["section_top_terms"](spark, str(tmp_path)).collect()}
+    crossbar, memory = np.log(7 / 5) + 1, np.log(7 / 4) + 1
+    length = np.hypot(crossbar, memory)
+    assert got == {("a", "crossbar"): pytest.approx((3 + crossbar / length) / 6, abs=1e-6), ("a", "memory"): pytest.approx((2 + memory / length) / 6, abs=1e-6), (None, "speicherzelle"): 1.0, ("c", "メモリ"): 1.0}
+    names = {r["c"]: r["name"] for r in QUERIES["cluster_names"](spark, str(tmp_path)).collect()}
+    assert names == {0: "speicherzelle, crossbar"}  # in 4 texts, and in 3 with one that it shares
