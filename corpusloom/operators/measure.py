@@ -93,7 +93,7 @@ def date_coverage(df: DataFrame, group: str, date: str) -> DataFrame:
     return df.groupBy(group).agg(F.min(y).alias("first_year"), F.max(y).alias("last_year"), F.median(y).cast("double").alias("median_year"), (F.avg(F.col(date).isNull().cast("int")) * 100).alias("pct_missing"), F.count("*").alias("n"))
 
 
-def truncation_flags(df: DataFrame, file: str, caps: tuple[int, ...] = (1000, 5000, 10000, 50000, 100000)) -> DataFrame:
+def truncation_flags(df: DataFrame, file: str, caps: tuple[int, ...] = (1000, 5000, 10000, 20000, 25000, 50000, 100000, 250000)) -> DataFrame:
     """Rows per file and whether the count looks like an export limit (a cap or a multiple of 10,000)."""
     t = df.groupBy(file).agg(F.count("*").alias("n_rows"))
     return t.withColumn("suspect", F.col("n_rows").isin(*caps) | ((F.col("n_rows") % 10000 == 0) & (F.col("n_rows") > 0)))

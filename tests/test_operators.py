@@ -276,3 +276,8 @@ def test_terms_are_of_all_documents(spark, tmp_path):
     assert got == {("a", "crossbar"): pytest.approx((3 + crossbar / length) / 6, abs=1e-6), ("a", "memory"): pytest.approx((2 + memory / length) / 6, abs=1e-6), (None, "speicherzelle"): 1.0, ("c", "メモリ"): 1.0}
     names = {r["c"]: r["name"] for r in QUERIES["cluster_names"](spark, str(tmp_path)).collect()}
     assert names == {0: "speicherzelle, crossbar"}  # in 4 texts, and in 3 with one that it shares
+
+
+@pytest.mark.parametrize("n, want", [(20_000, True), (24_999, False), (25_000, True), (250_000, True)])
+def test_export_limits(spark, n, want):
+    assert measure.truncation_flags(spark.range(n).withColumn("f", F.lit("x")), "f").first()["suspect"] is want
