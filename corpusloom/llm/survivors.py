@@ -137,7 +137,9 @@ def survivors(df: DataFrame) -> DataFrame:
 
 def golden_records(df: DataFrame) -> DataFrame:
     """One completed record per group (records without key are groups of one): survivor, size and FIELDS filled
-    from the first record with a usable value."""
+    from the first record with a usable value. ``cpc_codes`` are the codes of the whole group that ``true_values``
+    judges true, sorted; only where it judges none, those of the first record."""
+    true = true_values(df).groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set("value")), ";;").alias("_codes"))
     df = df.select(*NEEDED)
     key = F.coalesce(family_key(df), F.concat(F.lit("#"), F.col("rec_id").cast("string")))
     x = judged(df).withColumn("_key", key)
@@ -145,7 +147,7 @@ def golden_records(df: DataFrame) -> DataFrame:
     order = F.struct((~F.col("is_grant")).cast("tinyint").alias("g"), F.coalesce(-known, F.lit(2**31 - 1)).alias("d"), F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**63 - 1)).alias("t"), F.col("rec_id").alias("rec_id"))
     kinds = {f: "date" if f.endswith("_date") else "string" for f in FIELDS}
     aggs = [F.min_by(F.col(f), F.when(usable(F.col(f), kinds[f]), order)).alias(f) for f in FIELDS]
-    return x.groupBy("_key").agg(F.min(order)["rec_id"].alias("survivor_rec"), F.count("*").alias("n_records"), *aggs).drop("_key")
+    return x.groupBy("_key").agg(F.min(order)["rec_id"].alias("survivor_rec"), F.count("*").alias("n_records"), *aggs).join(true, "_key", "left").withColumn("cpc_codes", F.coalesce("_codes", "cpc_codes")).drop("_key", "_codes")
 
 
 def true_values(df: DataFrame, field: str = "cpc_codes", iterations: int = 12, threshold: float = 0.5) -> DataFrame:

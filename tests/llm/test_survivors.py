@@ -115,3 +115,10 @@ def test_against_brute_force(spark, data):
 def test_clashing_names(spark):
     x = spark.createDataFrame([rec(1), rec(2)], SCHEMA).selectExpr("*", "1 as _key", "2 as o", "3 as _v_kind", "4 as grant_vote")
     assert S.survivors(x).count() == 4 and S.golden_records(x).count() == 1
+
+
+def test_golden_keeps_codes_of_the_family(spark):
+    x = spark.createDataFrame([rec(1, kind="B1", cpc_codes="B;;A"), rec(2, cpc_codes="A;;C"), rec(3, None, cpc_codes="D")], SCHEMA)
+    true = {r["value"] for r in S.true_values(x).collect()}
+    got = {r["survivor_rec"]: r["cpc_codes"] for r in S.golden_records(x).collect()}
+    assert got == {1: "A;;B;;C", 3: "D"} and true == {"A", "B", "C"}
