@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stats import percent
+from corpusloom.functions.text import usable_key
 
 
 def union_shared(frames: list[DataFrame]) -> DataFrame:
@@ -23,11 +24,20 @@ def one_sided_columns(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]
     return [c for c in a.columns if c not in b.columns], [c for c in b.columns if c not in a.columns]
 
 
-def _best(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+def group_key(id_col: str, *candidates: Column) -> Column:
+    """The first usable candidate, compared without case, width, blanks and punctuation, else a key of the record's
+    own: no record is without a key, so none is lost in a collapse and no two meet for want of one."""
+    return F.coalesce(*[usable_key(c) for c in candidates], F.concat(F.lit("NOAPP_"), F.col(id_col).cast("string")))
+
+
+def _best(df: DataFrame, key: list[str], order: list[Column], alone: Column | None = None) -> DataFrame:
     """First row per key in this order. The rows are compared before the shuffle, so a key that many rows share
-    sends one row per task. Null keys form one group."""
+    sends one row per task. Null keys form one group; with ``alone`` they form one per value of it."""
     row = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.struct(*df.columns).alias("_row"))
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.min(row).alias("_m")).select("_m._row.*")
+    by = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    if alone is not None:
+        by.append(F.when(reduce(Column.__or__, [F.col(k).isNull() for k in key]), alone).alias("_alone"))
+    return df.groupBy(*by).agg(F.min(row).alias("_m")).select("_m._row.*")
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -36,8 +46,9 @@ def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_preferred(df: DataFrame, key: list[str], rank: Column, tie: str) -> DataFrame:
-    """One row per key: the smallest ``rank``, then the smallest ``tie``."""
-    return _best(df, key, [rank, F.col(tie)])
+    """One row per key: the smallest ``rank``, then the smallest ``tie``, which names the record. Records without a
+    key (any part of it null) are each alone."""
+    return _best(df, key, [rank, F.col(tie)], F.col(tie))
 
 
 def granted_flag(df: DataFrame, key: str, is_grant: Column) -> DataFrame:
@@ -49,7 +60,7 @@ def granted_flag(df: DataFrame, key: str, is_grant: Column) -> DataFrame:
 
 def collapse(df: DataFrame, key: str, is_grant: Column, tie: str, mode: str = "invention") -> DataFrame:
     """One row per key with ``granted``: grants preferred (invention), or only grants, or only others kept before the
-    choice. ``granted`` is computed before the mode filters."""
+    choice. ``granted`` is computed before the mode filters. Records with a null key are each alone."""
     x = granted_flag(df, key, is_grant)
     if mode == "grants_only":
         x = x.where(is_grant)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusloom.functions.text import PLACEHOLDERS
 from corpusloom.operators.evidence import FLAGS
 from corpusloom.plans import vocab as V
 
@@ -133,12 +134,38 @@ drawn as (select * from (select *, row_number() over (partition by side order by
 _FIRST = "(select *, row_number() over (partition by lens_id order by _source_folder nulls first, _source_file nulls first, rec_id) as rn from stage1_corpus)"
 
 
+_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
+_TRIMMED = "regexp_replace(translate({c}, chr(12288) || chr(160), '  '), '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g')"
+_BARE = "lower(regexp_replace(" + _TRIMMED + ", '^[\\[(<{{]+|[\\])>}}]+$', '', 'g'))"
+_EMPTY = "('" + "', '".join(PLACEHOLDERS) + "')"
+LAST_PRIORITY = "list_last(list_filter(string_split(priority_numbers, ';;'), lambda x: regexp_matches(x, '[^\\s\\p{Z}\\p{Cf}]')))"
+
+
+def filled(c: str) -> str:
+    """SQL: is the cell neither blank nor a placeholder?"""
+    bare = _BARE.format(c=c)
+    return f"coalesce({bare} not in {_EMPTY} and regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]'), false)"
+
+
+def usable_key(c: str) -> str:
+    """SQL: the bare upper-case key of a cell, or null."""
+    return f"case when {filled(c)} and not regexp_matches({c}, '^[^\\p{{L}}\\p{{N}}]*0*$') then upper(regexp_replace(translate({c}, '{_WIDE}', '{_NARROW}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')) end"
+
+
+def trimmed(c: str) -> str:
+    """SQL: a cell without blanks of any kind at its ends."""
+    return _TRIMMED.format(c=c)
+
+
+_KEYED = f"""with x as (select rec_id, pub_year, {_GRANT} as g, coalesce({usable_key('_family')}, {usable_key(LAST_PRIORITY)}, {usable_key('_appno')}, 'NOAPP_' || rec_id) as family,
+  coalesce({usable_key('_appno')}, 'NOAPP_' || rec_id) as application from stage1_corpus)"""
+
+
 def _collapsed(mode: str) -> str:
     keep = {"invention": "true", "apps": "not g", "grants": "g"}[mode]
-    return f"""with x as (select _family, rec_id, {_GRANT} as g from stage1_corpus),
-y as (select *, case when _family is null then g else bool_or(g) over (partition by _family) end as granted from x),
-z as (select *, row_number() over (partition by _family order by g desc, rec_id) as rn from y where {keep})
-select _family, rec_id{', granted' if mode != 'grants' else ''} from z where rn = 1"""
+    return f"""{_KEYED}, y as (select *, bool_or(g) over (partition by family) as granted from x),
+z as (select *, row_number() over (partition by family order by g desc, rec_id) as rn from y where {keep})
+select family, rec_id{', granted' if mode != 'grants' else ''} from z where rn = 1"""
 
 
 _TERMS = r"""
@@ -178,7 +205,7 @@ p as (select coalesce(try_strptime(w, '%Y-%m-%d'), try_strptime(w, '%d/%m/%Y'))
 select rec_id, round((coalesce(y, m) - lo) / greatest(hi - lo, 1)::double, 6) as scaled from x cross join s""",
     "category_hint": f"select {_strip('architecture')} as free_text, count(*) as n, {_hint(_strip('architecture'))} as suggested from validation_labels where architecture is not null group by 1, 3",
     "category_canonical": f"select {_canon('suggested')} as category, sum(n)::bigint as n_rows, count(*) as n_values from (select {_strip('architecture')} as f, count(*) as n, {_hint(_strip('architecture'))} as suggested from validation_labels where architecture is not null group by 1, 3) group by 1",
-    "truncation_flags": "select _source_file, count(*) as n_rows, count(*) in (1000, 5000, 10000, 50000, 100000) or count(*) % 10000 = 0 as suspect from stage1_corpus group by 1",
+    "truncation_flags": "select _source_file, count(*) as n_rows, count(*) in (1000, 5000, 10000, 20000, 25000, 50000, 100000, 250000) or count(*) % 10000 = 0 as suspect from stage1_corpus group by 1",
     "evidence_names": _TAGGED + f" select {_EVNAMES} as evidence, count(*) as n from tagged group by 1",
     "regex_evidence": _TAGGED + " select rec_id, ev_topic_text, ev_mechanism, ev_device_text, ev_weak from tagged",
     "subject_veto": _TAGGED + f" select rec_id, ev_veto as veto_title, {_re('text', _v.veto_text)} as veto_text from tagged",
@@ -193,13 +220,13 @@ select rec_id, round((coalesce(y, m) - lo) / greatest(hi - lo, 1)::double, 6) as
     "evidence_strength": _CLASSED + f" select category, n_any, n_title, round(case when n_any > 0 then n_title / n_any::double else 0 end, 6) as strength from (select category, count(*) filter (where list_contains(labels, category)) as n_any, count(*) filter (where list_contains(title_labels, category)) as n_title from classed cross join {_CATS} group by 1)",
     "doc_type_filter": f"select lower(trim(document_type)) as t, coalesce(lower(trim(document_type)) in {V.KEPT_TYPES}, false) and coalesce(jurisdiction, '') = 'US' as kept, count(*) as n from stage1_corpus group by 1, 2",
     "dedup_first": f"select lens_id, rec_id, pub_year from {_FIRST} where rn = 1",
-    "dedup_preferred": f"select _appno, rec_id from (select *, row_number() over (partition by _appno order by {_GRANT} desc, rec_id) as rn from stage1_corpus where _appno is not null) where rn = 1",
+    "dedup_preferred": _KEYED + " select application, rec_id from (select *, row_number() over (partition by application order by g desc, rec_id) as rn from x) where rn = 1",
     "collapse_invention": _collapsed("invention"),
     "collapse_apps_only": _collapsed("apps"),
     "collapse_grants_only": _collapsed("grants"),
-    "granted_flag": f"with x as (select pub_year, _family, {_GRANT} as g from stage1_corpus), y as (select pub_year, case when _family is null then g else bool_or(g) over (partition by _family) end as granted from x) select pub_year, count(*) as n, count(*) filter (where granted) as n_granted from y group by 1",
+    "granted_flag": _KEYED + ", y as (select pub_year, bool_or(g) over (partition by family) as granted from x) select pub_year, count(*) as n, count(*) filter (where granted) as n_granted from y group by 1",
     "multi_source_ids": "select count(*) as n_keys from (select lens_id from stage1_corpus where lens_id is not null group by 1 having count(distinct _source_folder) > 1)",
-    "multi_source_families": f"select count(*) as n_keys from (select _family from stage1_corpus where _family is not null group by 1 having count(distinct {_GRANT}) > 1)",
+    "multi_source_families": _KEYED + " select count(*) as n_keys from (select family from x group by 1 having count(distinct g) > 1)",
     "distinct_counts": "select count(distinct lens_id) as n_lens_id, count(distinct _appno) as n_appno, count(distinct _family) as n_family, count(distinct display_key) as n_display_key from stage1_corpus",
     "freq_table": "select jurisdiction as value, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 6) as pct from stage1_corpus group by 1",
     "crosstab": "select pub_year, " + ", ".join(f"count(*) filter (where coalesce(jurisdiction, 'none') = '{j}') as \"{j}\"" for j in ("US", "EP", "DE", "none")) + " from stage1_corpus group by 1",

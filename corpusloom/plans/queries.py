@@ -226,33 +226,36 @@ def dedup_first(spark, d):
     return dedup.keep_first(records(spark, d).select("lens_id", *_first_order(), "pub_year"), ["lens_id"], _first_order()).select("lens_id", "rec_id", "pub_year")
 
 
+def _keyed(spark, d) -> DataFrame:
+    """Records under the key of their invention: the family, else the earliest priority, else the application, else
+    the record itself."""
+    key = dedup.group_key("rec_id", F.col("_family"), text.last_filled(F.col("priority_numbers")), F.col("_appno"))
+    return records(spark, d).select("rec_id", key.alias("family"), dedup.group_key("rec_id", F.col("_appno")).alias("application"), "document_type", "kind", "pub_year")
+
+
 @query
 def dedup_preferred(spark, d):
-    x = records(spark, d).select("_appno", "rec_id", "document_type", "kind").where("_appno is not null")
-    return dedup.keep_preferred(x, ["_appno"], F.when(is_grant(), 0).otherwise(1), "rec_id").select("_appno", "rec_id")
+    return dedup.keep_preferred(_keyed(spark, d), ["application"], F.when(is_grant(), 0).otherwise(1), "rec_id").select("application", "rec_id")
 
 
 @query
 def collapse_invention(spark, d):
-    x = records(spark, d).select("_family", "rec_id", "document_type", "kind")
-    return dedup.collapse(x, "_family", is_grant(), "rec_id").select("_family", "rec_id", "granted")
+    return dedup.collapse(_keyed(spark, d), "family", is_grant(), "rec_id").select("family", "rec_id", "granted")
 
 
 @query
 def collapse_apps_only(spark, d):
-    x = records(spark, d).select("_family", "rec_id", "document_type", "kind")
-    return dedup.collapse(x, "_family", is_grant(), "rec_id", "apps_only").select("_family", "rec_id", "granted")
+    return dedup.collapse(_keyed(spark, d), "family", is_grant(), "rec_id", "apps_only").select("family", "rec_id", "granted")
 
 
 @query
 def collapse_grants_only(spark, d):
-    x = records(spark, d).select("_family", "rec_id", "document_type", "kind")
-    return dedup.collapse(x, "_family", is_grant(), "rec_id", "grants_only").select("_family", "rec_id")
+    return dedup.collapse(_keyed(spark, d), "family", is_grant(), "rec_id", "grants_only").select("family", "rec_id")
 
 
 @query
 def granted_flag(spark, d):
-    return dedup.granted_flag(records(spark, d), "_family", is_grant()).groupBy("pub_year").agg(F.count("*").alias("n"), F.count_if("granted").alias("n_granted"))
+    return dedup.granted_flag(_keyed(spark, d), "family", is_grant()).groupBy("pub_year").agg(F.count("*").alias("n"), F.count_if("granted").alias("n_granted"))
 
 
 @query
@@ -262,7 +265,7 @@ def multi_source_ids(spark, d):
 
 @query
 def multi_source_families(spark, d):
-    return dedup.in_several(records(spark, d).withColumn("s", F.when(is_grant(), "grant").otherwise("application")), "_family", "s")
+    return dedup.in_several(_keyed(spark, d).withColumn("s", F.when(is_grant(), "grant").otherwise("application")), "family", "s")
 
 
 @query

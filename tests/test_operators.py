@@ -44,15 +44,29 @@ def test_dedup_is_deterministic(spark):
     x = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 3, "c"), (None, 4, "d"), ("k", 1, "a")], "k string, n int, v string")
     for p in (1, 3):
         assert sorted((r["k"] or "", r["n"]) for r in dedup.keep_first(x.repartition(p), ["k"], ["n"]).collect()) == [("", 3), ("k", 1)]
-    assert {(r["k"], r["v"]) for r in dedup.keep_preferred(x, ["k"], F.when(F.col("v") == "b", 0).otherwise(1), "n").collect()} == {("k", "b"), (None, "c")}
+    assert {(r["k"], r["v"]) for r in dedup.keep_preferred(x, ["k"], F.when(F.col("v") == "b", 0).otherwise(1), "n").collect()} == {("k", "b"), (None, "c"), (None, "d")}
 
 
 def test_collapse_modes(spark):
-    x = spark.createDataFrame([("f", 1, False), ("f", 2, True), ("g", 3, False), (None, 4, True)], "f string, id int, g boolean")
+    x = spark.createDataFrame([("f", 1, False), ("f", 2, True), ("g", 3, False), (None, 4, True), (None, 5, True), (None, 6, False)], "f string, id int, g boolean")
     run = lambda m: {(r["f"], r["id"], r["granted"]) for r in dedup.collapse(x, "f", F.col("g"), "id", m).collect()}
-    assert run("invention") == {("f", 2, True), ("g", 3, False), (None, 4, True)}
-    assert run("apps_only") == {("f", 1, True), ("g", 3, False)}
-    assert run("grants_only") == {("f", 2, True), (None, 4, True)}
+    assert run("invention") == {("f", 2, True), ("g", 3, False), (None, 4, True), (None, 5, True), (None, 6, False)}
+    assert run("apps_only") == {("f", 1, True), ("g", 3, False), (None, 6, False)}
+    assert run("grants_only") == {("f", 2, True), (None, 4, True), (None, 5, True)}
+
+
+def test_every_record_has_a_key(spark):
+    rows = [(1, "US-1 p"), (2, "us1P"), (3, None), (4, None), (5, "N/A"), (6, "N/A"), (7, " 0 ")]
+    x = spark.createDataFrame(rows, "id int, f string")
+    got = {r["id"]: r["k"] for r in x.select("id", dedup.group_key("id", F.col("f")).alias("k")).collect()}
+    assert got == {1: "US1P", 2: "US1P"} | {i: f"NOAPP_{i}" for i in range(3, 8)}
+
+
+def test_collapse_loses_no_record(spark, data):
+    keyed = {r["family"] for r in QUERIES["collapse_invention"](spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/stage1_corpus.parquet").count()
+    parts = QUERIES["collapse_apps_only"](spark, data).count(), QUERIES["collapse_grants_only"](spark, data).count()
+    assert max(parts) <= len(keyed) <= min(rows, sum(parts))
 
 
 def test_union_shared(spark):
