@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import canon, consensus, encode, packing, sentences, survivors
+from corpusloom.plans.oracle import LAST_PRIORITY, filled, trimmed, usable_key
 from corpusloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,10 @@ def p2_witnesses(spark: SparkSession, d: str) -> DataFrame:
     return survivors.grant_quality(read(spark, d, "stage1_corpus"))
 
 
+def p2_judgements(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.judgements(read(spark, d, "stage1_corpus"))
+
+
 def p2_true_codes(spark: SparkSession, d: str) -> DataFrame:
     return survivors.true_values(read(spark, d, "stage1_corpus")).select(F.col("_key").alias("family_key"), "value", "n_for", "n_against", "posterior")
 
@@ -78,33 +83,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_golden, p2_witnesses, p2_true_codes, p4_found, p4_annotators, p4_agreement, p4_pair_kappa, p6_ids, p6_decoded, p7_packed, p7_usage, p8_found)}
-
-_WIDE, _NARROW = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
-_TRIMMED = "regexp_replace(translate({c}, chr(12288) || chr(160), '  '), '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g')"
-_BARE = "lower(regexp_replace(" + _TRIMMED + ", '^[\\[(<{{]+|[\\])>}}]+$', '', 'g'))"
-_NONE = "('', '-', '--', '?', '0', 'n/a', 'na', 'n.a.', 'n.a', 'nan', 'nil', 'none', 'null', 'not available', 'unknown', 'undefined', 'missing', 'tbd')"
-
-
-def _filled(c: str) -> str:
-    bare = _BARE.format(c=c)
-    return f"coalesce({bare} not in {_NONE} and regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]'), false)"
-
-
-def _key(c: str) -> str:
-    return f"case when {_filled(c)} and not regexp_matches({c}, '^[^\\p{{L}}\\p{{N}}]*0*$') then upper(regexp_replace(translate({c}, '{_WIDE}', '{_NARROW}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')) end"
-
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_golden, p2_witnesses, p2_judgements, p2_true_codes, p4_found, p4_annotators, p4_agreement, p4_pair_kappa, p6_ids, p6_decoded, p7_packed, p7_usage, p8_found)}
 
 def _vote(c: str, yes: str) -> str:
-    return f"case when not {_filled(c)} then 0 when starts_with(lower({_TRIMMED.format(c=c)}), '{yes}') then 1 else -1 end"
+    return f"case when not {filled(c)} then 0 when starts_with(lower({trimmed(c)}), '{yes}') then 1 else -1 end"
 
 
 _RANKED = f"""
 with v as (
-  select *, coalesce({_key('_family')}, {_key("list_last(list_filter(string_split(priority_numbers, ';;'), lambda x: regexp_matches(x, '[^\\s\\p{Z}\\p{Cf}]')))")}, {_key('_appno')}) as k,
+  select *, coalesce({usable_key('_family')}, {usable_key(LAST_PRIORITY)}, {usable_key('_appno')}) as k,
     (case when is_granted then 1 when not is_granted then -1 else 0 end) + ({_vote('_source', 'grant')}) + ({_vote('kind', 'b')}) + ({_vote('document_type', 'grant')}) as vote,
     case when pub_date not in (date '1900-01-01', date '9999-12-31', date '1970-01-01', date '0001-01-01') then pub_date end as pd,
-    {_filled('title')} as ok_title, {_filled('abstract')} as ok_abstract, {_filled('cpc_codes')} as ok_cpc,
+    {filled('title')} as ok_title, {filled('abstract')} as ok_abstract, {filled('cpc_codes')} as ok_cpc,
     coalesce(filing_date not in (date '1900-01-01', date '9999-12-31', date '1970-01-01', date '0001-01-01'), false) as ok_filing
   from stage1_corpus),
 r as (select *, row_number() over (partition by k order by (vote > 0) desc, pd desc nulls last, ingested_at desc nulls last, rec_id) as rn, count(*) over (partition by k) as n from v where k is not null)"""

@@ -95,16 +95,22 @@ def _vote_patterns(df: DataFrame) -> tuple[DataFrame, list]:
 
 def judged(df: DataFrame) -> DataFrame:
     """Every record with ``grant_posterior`` of the fitted model, ``grant_vote`` (sayings minus denials) and
-    ``is_grant``: the model's judgement, put right by the exact rule (more filled fields say so than deny it)
-    where the two differ."""
+    ``is_grant``: the model holds it for a grant (posterior above 0.5) and, as the exact check that follows, more
+    filled fields say so than deny it. A record that nothing speaks of is no grant."""
     voted, patterns = _vote_patterns(df)
     post = two_sided_em(patterns, len(GRANT_SOURCES))[3] if patterns else []
     names = [f"_v_{s}" for s in GRANT_SOURCES]
     table = df.sparkSession.createDataFrame([(*v, p) for (v, _), p in zip(patterns, post)], ", ".join(f"{n} int" for n in names) + ", grant_posterior double")
     x = voted.join(F.broadcast(table), names, "left")  # at most 81 rows
     vote = sum((F.col(n) for n in names), F.lit(0))
-    model, rule = F.col("grant_posterior") > 0.5, vote > 0
-    return x.withColumn("grant_vote", vote).withColumn("is_grant", F.when(model == rule, model).otherwise(rule)).drop(*names)
+    return x.withColumn("grant_vote", vote).withColumn("is_grant", (F.col("grant_posterior") > 0.5) & (vote > 0)).drop(*names)
+
+
+def judgements(df: DataFrame) -> DataFrame:
+    """One row: records, grants by the model's posterior, grants by the plain majority of the filled fields, and the
+    records on which the two differ or the votes are even."""
+    p, vote = F.col("grant_posterior") > 0.5, F.col("grant_vote")
+    return judged(df.select(*GRANT_SOURCES)).agg(F.count("*").alias("n_records"), F.count_if(p).alias("n_model"), F.count_if(vote > 0).alias("n_majority"), F.count_if(p != (vote > 0)).alias("n_differ"), F.count_if(vote == 0).alias("n_even"))
 
 
 def grant_quality(df: DataFrame) -> DataFrame:
@@ -115,6 +121,15 @@ def grant_quality(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "witness string, sensitivity double, specificity double, prior double, n_spoken long")
 
 
+def _order() -> Column:
+    """Place of a judged record in its group, smaller first."""
+    known = F.when(usable(F.col("pub_date"), "date"), F.unix_date(F.col("pub_date").cast("date")))
+    return F.struct(
+        (~F.col("is_grant")).cast("tinyint").alias("g"), F.coalesce(-known, F.lit(2**31 - 1)).alias("d"),
+        F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**63 - 1)).alias("t"), F.col("rec_id").alias("rec_id"),
+    )
+
+
 def survivors(df: DataFrame) -> DataFrame:
     """(survivor_rec, field_name, from_rec) for each group of two or more records and each of FIELDS.
 
@@ -124,12 +139,7 @@ def survivors(df: DataFrame) -> DataFrame:
     """
     df = df.select(*NEEDED)
     x = judged(df).withColumn("_key", family_key(df)).where("_key is not null")
-    known = F.when(usable(F.col("pub_date"), "date"), F.unix_date(F.col("pub_date").cast("date")))
-    order = F.struct(
-        (~F.col("is_grant")).cast("tinyint").alias("g"), F.coalesce(-known, F.lit(2**31 - 1)).alias("d"),
-        F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**63 - 1)).alias("t"), F.col("rec_id").alias("rec_id"),
-    )
-    slim = x.select("_key", order.alias("o"), *[usable(F.col(f), "date" if f.endswith("_date") else "string").alias(f) for f in FIELDS])
+    slim = x.select("_key", _order().alias("o"), *[usable(F.col(f), "date" if f.endswith("_date") else "string").alias(f) for f in FIELDS])
     best = slim.groupBy("_key").agg(F.count("*").alias("n"), F.min("o").alias("first"), *[F.min(F.when(F.col(f), F.col("o"))).alias(f) for f in FIELDS]).where("n > 1")
     one = best.select(F.col("first.rec_id").alias("survivor_rec"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.rec_id").alias("from_rec")) for f in FIELDS])).alias("r"))
     return one.select("survivor_rec", "r.*").where("from_rec is not null")
@@ -142,20 +152,25 @@ def golden_records(df: DataFrame) -> DataFrame:
     true = true_values(df).groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set("value")), ";;").alias("_codes"))
     df = df.select(*NEEDED)
     key = F.coalesce(family_key(df), F.concat(F.lit("#"), F.col("rec_id").cast("string")))
-    x = judged(df).withColumn("_key", key)
-    known = F.when(usable(F.col("pub_date"), "date"), F.unix_date(F.col("pub_date").cast("date")))
-    order = F.struct((~F.col("is_grant")).cast("tinyint").alias("g"), F.coalesce(-known, F.lit(2**31 - 1)).alias("d"), F.coalesce(-F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(2**63 - 1)).alias("t"), F.col("rec_id").alias("rec_id"))
+    x, order = judged(df).withColumn("_key", key), _order()
     kinds = {f: "date" if f.endswith("_date") else "string" for f in FIELDS}
     aggs = [F.min_by(F.col(f), F.when(usable(F.col(f), kinds[f]), order)).alias(f) for f in FIELDS]
     return x.groupBy("_key").agg(F.min(order)["rec_id"].alias("survivor_rec"), F.count("*").alias("n_records"), *aggs).join(true, "_key", "left").withColumn("cpc_codes", F.coalesce("_codes", "cpc_codes")).drop("_key", "_codes")
 
 
-def true_values(df: DataFrame, field: str = "cpc_codes", iterations: int = 12, threshold: float = 0.5) -> DataFrame:
+#: Smoothing of the rates of a source of codes, as (pseudo-counts in favour, pseudo-counts in all). A file seldom lists
+#: a code that is not there, so a file without evidence starts at a specificity of 0.9 (9 of 10); whether it lists all
+#: that is there is open, so at a sensitivity of 0.5 (2 of 4). With some thousand facts a file neither weighs.
+SENSITIVITY_PRIOR, SPECIFICITY_PRIOR = (2.0, 4.0), (9.0, 10.0)
+
+
+def true_values(df: DataFrame, field: str = "cpc_codes", iterations: int = 40, threshold: float = 0.5, tolerance: float = 1e-4) -> DataFrame:
     """(survivor key group, value, n_for, n_against, posterior) of the values of a multi-valued field judged true.
 
     Facts are (group, value). A file that has records of the group with this field filled asserts the value if one
     of them lists it and denies it otherwise. Facts are folded to patterns (assert set, deny set) with counts; the
-    driver holds one sensitivity and specificity per source. Groups without any filled value give no row.
+    driver holds one sensitivity and specificity per source. It ends when no rate moves by ``tolerance``. Groups
+    without any filled value give no row.
     """
     source = F.concat_ws("/", "_source_folder", "_source_file")
     x = df.select(family_key(df).alias("_key"), F.coalesce(source, F.lit("?")).alias("src"), F.when(usable(F.col(field)), F.array_distinct(split_list(F.col(field)))).alias("vals")).where("_key is not null and size(vals) > 0")
@@ -165,17 +180,23 @@ def true_values(df: DataFrame, field: str = "cpc_codes", iterations: int = 12, t
     facts = cut_lineage(facts)
     pats = cut_lineage(facts.groupBy("yes", "no").agg(F.count("*").alias("n")))
     sens = spec = None
-    prior = 0.5
-    for _ in range(iterations):
-        p = _posterior(prior, sens, spec)
-        votes = pats.select("n", p.alias("p"), F.explode(F.concat(F.transform("yes", lambda s: F.struct(s.alias("s"), F.lit(1).alias("v"))), F.transform("no", lambda s: F.struct(s.alias("s"), F.lit(0).alias("v"))))).alias("x"))
-        rows = votes.groupBy("x.s").agg(F.sum(F.col("n") * F.col("p") * F.col("x.v")).alias("tp"), F.sum(F.col("n") * F.col("p")).alias("t"), F.sum(F.col("n") * (1 - F.col("p")) * (1 - F.col("x.v"))).alias("tn"), F.sum(F.col("n") * (1 - F.col("p"))).alias("f")).collect()
-        tot = pats.agg(F.sum(F.col("n") * p).alias("a"), F.sum("n").alias("b")).first()
+    prior, moved = 0.5, 1.0
+    while iterations > 0 and moved >= tolerance:
+        iterations -= 1
+        scored = pats.select("n", "yes", "no", _posterior(prior, sens, spec).alias("p"))
+        said = lambda c, v: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(v).alias("v")))
+        everyone = F.array(F.struct(F.lit(None).cast("string").alias("s"), F.lit(1).alias("v")))  # the prior's own row
+        n, p, v = F.col("n"), F.col("p"), F.col("x.v")
+        votes = scored.select("n", "p", F.explode(F.concat(everyone, said("yes", 1), said("no", 0))).alias("x"))
+        rows = votes.groupBy("x.s").agg(F.sum(n * p * v).alias("tp"), F.sum(n * p).alias("t"), F.sum(n * (1 - p) * (1 - v)).alias("tn"), F.sum(n * (1 - p)).alias("f")).collect()
         if not rows:
             break
-        prior = (tot["a"] + 1) / (tot["b"] + 2)
-        sens = {r["s"]: (r["tp"] + 2) / (r["t"] + 4) for r in rows}
-        spec = {r["s"]: (r["tn"] + 9) / (r["f"] + 10) for r in rows}
+        total = next(r for r in rows if r["s"] is None)
+        prior = (total["t"] + 1) / (total["t"] + total["f"] + 2)
+        up = {r["s"]: (r["tp"] + SENSITIVITY_PRIOR[0]) / (r["t"] + SENSITIVITY_PRIOR[1]) for r in rows if r["s"] is not None}
+        down = {r["s"]: (r["tn"] + SPECIFICITY_PRIOR[0]) / (r["f"] + SPECIFICITY_PRIOR[1]) for r in rows if r["s"] is not None}
+        moved = max((abs(new[s] - (old or {}).get(s, 0.5)) for new, old in ((up, sens), (down, spec)) for s in new), default=0.0)
+        sens, spec = up, down
     pats = pats.withColumn("posterior", _posterior(prior, sens, spec)).select("yes", "no", "posterior")
     out = facts.join(pats, ["yes", "no"]).where(F.col("posterior") > threshold)
     return out.select("_key", "value", F.size("yes").alias("n_for"), F.size("no").alias("n_against"), "posterior")
@@ -193,4 +214,4 @@ def _posterior(prior: float, sens: dict | None, spec: dict | None) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-__all__ = ["family_key", "golden_records", "grant_quality", "judged", "survivors", "true_values", "two_sided_em"]
+__all__ = ["family_key", "golden_records", "grant_quality", "judged", "judgements", "survivors", "true_values", "two_sided_em"]

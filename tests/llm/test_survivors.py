@@ -49,6 +49,18 @@ def test_even_votes_are_no_grant(spark):
     assert [r["is_grant"] for r in S.judged(x).orderBy("rec_id").collect()] == [False, True, True]
 
 
+def test_the_model_decides(spark):
+    """A witness that says grant of everything tells nothing, so its word alone makes no grant, although the fields
+    that say so outnumber those that deny it."""
+    say = lambda i, yes: rec(i, f"k{i}", is_granted=True, kind="B1" if yes else "A1", _source="grant" if yes else "app", document_type="Granted Patent" if yes else "Application")
+    x = spark.createDataFrame([say(i, i % 3 == 0) for i in range(300)] + [rec(900, is_granted=True, pub_date=dt.date(2022, 1, 1)), rec(901, kind="B1", pub_date=dt.date(2020, 1, 1))], SCHEMA)
+    got = {r["rec_id"]: (r["is_grant"], r["grant_vote"]) for r in S.judged(x).collect()}
+    assert got[900] == (False, 1) and got[901] == (True, 1) and got[0] == (True, 4) and got[1] == (False, -2)
+    assert {r["survivor_rec"] for r in S.survivors(x).collect()} == {901}  # by the plain majority it would be 900
+    t = S.judgements(x).first()
+    assert (t["n_records"], t["n_model"], t["n_majority"], t["n_differ"]) == (302, 101, 102, 1)
+
+
 def test_em_recovers_quality():
     import random
 
