@@ -12,8 +12,3 @@ def mixed_date(c: Column) -> Column:
     ymd = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t)
     dmy = F.when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.regexp_replace(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"))
     return F.coalesce(ymd, dmy).try_cast("date")
-
-
-def year_of(c: Column) -> Column:
-    """Year as int; null stays null."""
-    return F.year(c)

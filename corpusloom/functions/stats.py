@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +18,6 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(n > 0, low), F.when(n > 0, high)
 
 
-def wilson_value(k: int, n: int, z: float = Z95) -> tuple[float, float] | None:
-    """The same interval for two numbers; None if n is 0."""
-    if n <= 0:
-        return None
-    p = k / n
-    half = z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    mid, denom = p + z * z / (2 * n), 1 + z * z / n
-    return max(0.0, 100 * (mid - half) / denom), min(100.0, 100 * (mid + half) / denom)
-
-
 def percent(k: Column, n: Column) -> Column:
     """100 k / n, null where n is 0 or null."""
     return F.when(n > 0, 100.0 * k / n)

@@ -94,9 +94,23 @@ def contains(c: Column, pattern: str) -> Column:
     return F.coalesce(c, F.lit("")).rlike(f"(?iU){pattern}")
 
 
+#: What may part the words of a phrase, and what may end an abbreviation.
+_GAP, _PLURAL = r"[\s\-]+", "s?"
+
+
+def _literal(word: str) -> str:
+    """``word`` as a pattern that matches nothing but itself."""
+    return "".join(c if c.isalnum() or c == "_" else f"\\{c}" for c in word)
+
+
+def _edge(char: str) -> str:
+    """A word boundary beside a word character, else no word character beside it."""
+    return r"\b" if char.isalnum() or char == "_" else ""
+
+
 def phrase_pattern(abbreviations: tuple[str, ...] = (), phrases: tuple[str, ...] = ()) -> str:
     """Pattern for a category: abbreviations match whole words with an optional plural s, phrase words may be
-    joined by blanks or hyphens and the last one may go on."""
-    parts = [rf"\b{a}s?\b" for a in abbreviations]
-    parts += [r"\b" + r"[\s\-]+".join(p.split()) + r"\w*" for p in phrases]
-    return "(?:" + "|".join(parts) + ")"
+    joined by blanks or hyphens and the last one may go on. Signs in either stand for themselves."""
+    short = (f"{_edge(a[0])}{_literal(a)}{_PLURAL}" + (r"\b" if _edge(a[-1]) else r"(?!\w)") for a in abbreviations)
+    long = (_edge(p.split()[0][0]) + _GAP.join(map(_literal, p.split())) + r"\w*" for p in phrases)
+    return "(?:" + "|".join([*short, *long]) + ")"

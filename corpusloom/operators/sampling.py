@@ -17,12 +17,12 @@ def draw_key(id_col: str, seed: int = 42) -> Column:
 def stratified(df: DataFrame, stratum: str, id_col: str, sizes: dict[str, int], seed: int = 42) -> DataFrame:
     """min(size, rows) rows of every stratum named in ``sizes``; others and null are left out.
 
-    The rank in a window would gather a stratum in one task, so each task first keeps its own best rows: ranks are
-    taken per (stratum, salt), cut, and taken again over what is left, which is exact."""
+    The rank is first held to the greatest size, a constant, so that every task cuts its own rows to that many per
+    stratum before anything is shuffled; the stratum's own size follows."""
     want = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    x = df.withColumn("_want", F.element_at(want, F.col(stratum))).where(F.col("_want") > 0).withColumn("_draw", draw_key(id_col, seed)).withColumn("_salt", F.pmod(F.xxhash64("_draw"), F.lit(64)))
-    first = x.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_salt").orderBy("_draw", id_col))).where(F.col("_r") <= F.col("_want"))
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", id_col))).where(F.col("_r") <= F.col("_want")).drop("_r", "_want", "_salt", "_draw")
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", id_col))
+    x = df.withColumn("_draw", draw_key(id_col, seed)).withColumn("_r", rank).where(F.col("_r") <= max(sizes.values()))
+    return x.where(F.col("_r") <= F.element_at(want, F.col(stratum))).drop("_r", "_draw")
 
 
 def strata(topic: Column, device: Column, inside: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions.text import PLACEHOLDERS
-from corpusloom.operators.evidence import FLAGS
+from corpusloom.operators.evidence import FLAGS, RULES, demands
 from corpusloom.plans import vocab as V
 
 _WS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -78,22 +78,13 @@ pooled_{year} as (select category, sum(full_n)::bigint as full_n, sum(inside_n):
   case when sum(n_inside) > 0 then 100.0::double*sum(inside_n)/sum(n_inside) end as inside_pct from a_{year} group by 1)"""
 
 
-_E = {f.removeprefix("ev_"): f for f in FLAGS}
-_TXT = "(ev_topic_text or ev_mechanism)"
-_TOPIC = "(ev_topic_code or ev_topic_text or ev_mechanism)"
 _DEVICE = "(ev_device_code or ev_device_text)"
-_VARIANTS = {
-    "V0 core, or topic and device": f"ev_core or ({_TOPIC} and {_DEVICE})",
-    "V1 second tier needs device text": f"ev_core or ({_TOPIC} and ev_device_text)",
-    "V2 second tier needs topic text": f"ev_core or ({_TXT} and {_DEVICE})",
-    "V3 second tier needs both texts": f"ev_core or ({_TXT} and ev_device_text)",
-    "V4 core only": "ev_core",
-    "V7 core with any text": f"ev_core and {_ANY_TEXT}",
-    "V8 core with device text": "ev_core and ev_device_text",
-    "V9 device text, topic from core or text": f"ev_device_text and (ev_core or {_TXT})",
-    "V10 V8 or both texts": f"(ev_core and ev_device_text) or ({_TXT} and ev_device_text)",
-    "V11 core with device evidence": f"ev_core and {_DEVICE}",
-}
+
+
+def _rule(rule: str) -> str:
+    return " or ".join("(" + " and ".join("(" + " or ".join(f"ev_{k}" for k in kinds) + ")" for kinds in part) + ")" for part in demands(rule))
+
+
 _EVNAMES = "coalesce(nullif(array_to_string(list_filter([" + ", ".join(f"case when ev_{n} then '{n}' end" for n in ("topic_code", "topic_text", "mechanism", "device_code", "device_text")) + "], lambda x: x is not null), ','), ''), 'no evidence')"
 
 
@@ -211,7 +202,7 @@ select rec_id, round((coalesce(y, m) - lo) / greatest(hi - lo, 1)::double, 6) as
     "subject_veto": _TAGGED + f" select rec_id, ev_veto as veto_title, {_re('text', _v.veto_text)} as veto_text from tagged",
     "rule_production": _TAGGED + " select rec_id, cond_topic, cond_device, tier, in_corpus from tagged",
     "rule_second_tier": _TAGGED + f" select case when ev_veto then 'excluded' when ev_core then 'T1' when (ev_topic_code or ev_topic_text) and {_DEVICE} then 'T2' else 'excluded' end as tier, count(*) as n from tagged group by 1",
-    "rule_variants": _TAGGED + " " + " union all ".join(f"select '{n}' as variant, count(*) filter (where ({r}) and not ev_veto) as n_kept from tagged" for n, r in _VARIANTS.items()),
+    "rule_variants": _TAGGED + " " + " union all ".join(f"select '{n}' as variant, count(*) filter (where ({_rule(n)}) and not ev_veto) as n_kept from tagged" for n in RULES),
     "attrition": _TAGGED + " select ordinal::bigint as ordinal, step, n, round(100.0::double * n / base, 6) as pct_of_base from (" + " union all ".join(f"select {i} as ordinal, '{s}' as step, count(*) filter (where {c}) as n, count(*) as base from tagged" for i, (s, c) in enumerate({"records": "true", "topic condition": "cond_topic", "device condition": "cond_device", "core code": "ev_core", "core code with text": f"ev_core and {_ANY_TEXT}", "second tier": "tier = 'T2'", "retained": "in_corpus"}.items())) + ")",
     "evidence_composition": _TAGGED + " select count(*) as n_retained, count(*) filter (where ev_topic_code and not ev_topic_text) as code_only, count(*) filter (where ev_topic_text and not ev_topic_code) as text_only, count(*) filter (where ev_topic_text and ev_topic_code) as both, count(*) filter (where ev_mechanism and not ev_topic_text and not ev_topic_code) as mechanism_only from tagged where in_corpus",
     "weak_only": _TAGGED + " select count(*) filter (where ev_weak and not ev_device_text and not ev_device_code) as n_weak_only, count(*) filter (where ev_weak) as n_weak from tagged",
@@ -256,11 +247,11 @@ select category, round(fd, 6) as full_delta, round(id, 6) as inside_delta, n_fir
     "eta_squared": "with x as (select label, (2010 + vec_id % 7 + label)::double as y from embeddings), g as (select avg(y) as m from x), s as (select sum((y - m) * (y - m)) as t from x cross join g), b as (select sum(n * (a - m) * (a - m)) as b from (select label, count(*) as n, avg(y) as a from x group by 1) cross join g) select round(b / t, 6) as eta2 from s cross join b",
     "spearman": "with x as (select l_quantity as a, l_extendedprice as b from lineitem), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0::double as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0::double as rb from x) select round(corr(ra, rb), 6) as rho from r",
     "label_norm": f"select {_norm('is_ai_hardware')} as label, count(*) as n from validation_labels group by 1",
-    "rule_scores": _JUDGED + ", k as (" + " union all ".join(f"select '{n}' as variant, ({r}) and not ev_veto as keep, gold = 'Y' as yes from judged where gold in ('Y', 'N', 'B')" for n, r in _VARIANTS.items()) + """),
+    "rule_scores": _JUDGED + ", k as (" + " union all ".join(f"select '{n}' as variant, ({_rule(n)}) and not ev_veto as keep, gold = 'Y' as yes from judged where gold in ('Y', 'N', 'B')" for n in RULES) + """),
 t as (select variant, count(*) filter (where keep) as kept, count(*) filter (where keep and yes) as tp, count(*) filter (where keep and not yes) as fp, count(*) filter (where not keep and yes) as fn from k group by 1),
 u as (select *, case when tp + fp > 0 then tp / (tp + fp)::double end as p, case when tp + fn > 0 then tp / (tp + fn)::double end as r from t)
 select variant, kept, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall, round(case when p > 0 and r > 0 then 2 * p * r / (p + r) end, 6) as f1 from u""",
-    "wrong_records": _JUDGED + f", w as (select *, ({_VARIANTS['V0 core, or topic and device']}) and not ev_veto as keep, gold = 'Y' as yes from judged where gold in ('Y', 'N', 'B')) select publication_number, case when yes then 'false negative' else 'false positive' end as kind, {_EVNAMES} as evidence from w where keep <> yes",
+    "wrong_records": _JUDGED + f", w as (select *, ({_rule('core | topic & device')}) and not ev_veto as keep, gold = 'Y' as yes from judged where gold in ('Y', 'N', 'B')) select publication_number, case when yes then 'false negative' else 'false positive' end as kind, {_EVNAMES} as evidence from w where keep <> yes",
     "precision_by_side": _JUDGED + ", t as (select side, stage, count(*) as n_records, count(*) filter (where gold = 'Y') as n, count(*) filter (where gold = 'B') as b from judged where gold in ('Y', 'N', 'B') group by 1, 2) " + f"select side, stage, n_records as n, n as n_yes, b as n_borderline, round(100.0::double * n / n_records, 6) as precision_pct, round({_LO}, 6) as lo, round({_HI}, 6) as hi from t",
     "precision_by_tier": _JUDGED + ", t as (select tier, count(*) as n_records, count(*) filter (where gold = 'Y') as n, count(*) filter (where gold = 'B') as b from judged where gold in ('Y', 'N', 'B') group by 1) " + f"select tier, n_records as n, n as n_yes, b as n_borderline, round(100.0::double * n / n_records, 6) as precision_pct, round({_LO}, 6) as lo, round({_HI}, 6) as hi from t",
     "class_confusion": _JUDGED + f""", h as (select coalesce(stage, 'none') as stage, {_hint("coalesce(architecture, '')")} as hint, {_hits('text')} as labels from judged),

@@ -154,11 +154,7 @@ def regex_evidence(spark, d):
 
 @query
 def subject_veto(spark, d):
-    from dataclasses import replace
-
-    x = tagged(spark, d).select("rec_id", F.col("ev_veto").alias("veto_title"))
-    y = evidence.tag_evidence(records(spark, d), replace(V.VOCAB, veto_scope="text")).select("rec_id", F.col("ev_veto").alias("veto_text"))
-    return x.join(y, "rec_id")
+    return evidence.vetoes(records(spark, d), V.VOCAB).select("rec_id", "veto_title", "veto_text")
 
 
 @query
@@ -174,8 +170,7 @@ def rule_second_tier(spark, d):
 
 @query
 def rule_variants(spark, d):
-    x = evidence.with_variants(tagged(spark, d)).select(F.explode("kept_by").alias("k"))
-    return x.groupBy(F.col("k.variant").alias("variant")).agg(F.count_if("k.keep").alias("n_kept"))
+    return evidence.rule_counts(tagged(spark, d))
 
 
 @query
@@ -311,7 +306,11 @@ def _labels(spark, d) -> DataFrame:
 
 
 def _one_per_key(spark, d) -> DataFrame:
-    return dedup.keep_first(tagged(spark, d).select("display_key", "rec_id", "text", "title", "tier", "in_corpus", *evidence.FLAGS).where("display_key is not null"), ["display_key"], ["rec_id"])
+    """The first record of each labelled publication with its evidence. The labels are met before the texts are read
+    for evidence, so that only labelled records are."""
+    keys = read(spark, d, "validation_labels").select(F.col("publication_number").alias("display_key"))
+    one = dedup.keep_first(records(spark, d).select("display_key", "rec_id", "title", "abstract", "cpc_codes").join(keys, "display_key", "left_semi"), ["display_key"], ["rec_id"])
+    return evidence.apply_rule(evidence.tag_evidence(one, V.VOCAB))
 
 
 @query
@@ -446,14 +445,12 @@ def label_norm(spark, d):
 
 @query
 def rule_scores(spark, d):
-    return rounded(validate.rule_scores(evidence.with_variants(_judged(spark, d)), "gold"), "precision", "recall", "f1")
+    return rounded(validate.rule_scores(evidence.with_rules(_judged(spark, d)), "gold"), "precision", "recall", "f1")
 
 
 @query
 def wrong_records(spark, d):
-    e = evidence.flags()
-    keep = evidence.VARIANTS["V0 core, or topic and device"](e) & ~e["veto"]
-    return validate.wrong_records(_judged(spark, d), "gold", keep, "publication_number", evidence.evidence_names())
+    return validate.wrong_records(_judged(spark, d), "gold", evidence.satisfies("core | topic & device"), "publication_number", evidence.evidence_names())
 
 
 @query

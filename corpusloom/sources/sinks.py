@@ -67,9 +67,3 @@ def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def register(frames: dict[str, DataFrame]) -> None:
-    """Results as temporary views, for SQL."""
-    for name, df in frames.items():
-        df.createOrReplaceTempView(name)

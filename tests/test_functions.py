@@ -48,6 +48,16 @@ def test_phrases(spark, v):
     assert one(spark, v, lambda c: text.contains(c, text.phrase_pattern((), ("near memor",)))) is True
 
 
+@pytest.mark.parametrize("v, want", [("written in C++.", True), ("C++s differ", True), ("plain C", False), ("C+++", True), ("xC++", False), ("C++11", False)])
+def test_signs_stand_for_themselves(spark, v, want):
+    assert one(spark, v, lambda c: text.contains(c, text.phrase_pattern(("C++",)))) is want
+
+
+def test_signs_in_phrases(spark):
+    p = text.phrase_pattern((), ("a.b (c)",))
+    assert one(spark, "A.B  (C)s", lambda c: text.contains(c, p)) is True and one(spark, "axb (c)", lambda c: text.contains(c, p)) is False
+
+
 def test_keys(spark):
     same = ["US 123 P", "us-123-p", "ＵＳ１２３Ｐ", " us.123,p\xa0"]
     assert {one(spark, v, text.usable_key) for v in same} == {"US123P"}
@@ -56,10 +66,8 @@ def test_keys(spark):
 
 @pytest.mark.parametrize("k, n, lo, hi", [(98, 120, 73.80, 87.57), (36, 45, 66.18, 89.10), (62, 75, 72.57, 89.58)])
 def test_wilson(spark, k, n, lo, hi):
-    a, b = stats.wilson_value(k, n)
-    assert round(a, 2) == lo and round(b, 2) == hi
     row = spark.createDataFrame([(k, n), (0, 0)], "k long, n long").select(*stats.wilson(F.col("k"), F.col("n"))).collect()
-    assert row[0][0] == pytest.approx(a) and row[0][1] == pytest.approx(b) and row[1][0] is None and row[1][1] is None
+    assert round(row[0][0], 2) == lo and round(row[0][1], 2) == hi and row[1][0] is None and row[1][1] is None
 
 
 def test_kappa(spark):
@@ -70,3 +78,10 @@ def test_kappa(spark):
 @pytest.mark.parametrize("v, want", [(0.9, "0.90-1.01"), (0.8999, "0.80-0.90"), (1.0, "0.90-1.01"), (0.1, None), (None, None)])
 def test_band(spark, v, want):
     assert one(spark, v, lambda c: stats.band(c, [(0.9, 1.01), (0.8, 0.9)]), "double") == want
+
+
+def test_six_bands(spark):
+    from corpusloom.plans.vocab import BANDS
+
+    got = [one(spark, v, lambda c: stats.band(c, BANDS), "double") for v in (0.95, 0.9, 0.87, 0.8, 0.79, 0.7, 0.65, 0.59)]
+    assert got == ["0.90-1.01", "0.90-1.01", "0.85-0.90", "0.80-0.85", "0.75-0.80", "0.70-0.75", "0.60-0.70", None]
