@@ -672,7 +672,7 @@ def p3_table(spark, d):
 
 @query
 def p5_found(spark, d):
-    return raw_records.load_records(*_raw(spark, d)).where("fail_reason is not null").select("raw_id", "fail_reason")
+    return raw_records.failing_records(*_raw(spark, d)).select("raw_id", "fail_reason")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,24 +11,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share, as the cluster names it in ``spark.checkpoint.dir``. Only a session on one
+    machine, such as a test, may leave it unset and gets a temporary folder; a cluster without it is refused, as its
+    executors would write to a path that exists on the driver alone."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors reach")
+    if sc.master not in _LOCAL:
+        _LOCAL[sc.master] = tempfile.mkdtemp(prefix="shared-")
+    return _LOCAL[sc.master]
+
+
+#: The one temporary folder of a session on one machine.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or a temporary one where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests on one machine) gets a folder of its own.
-    """
+    """Write ``df`` once to the shared checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, but as a table of columns: smaller where values repeat, and read back by column."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """``df`` with the inclusive running sum of ``value`` in the order of the (distinct) values of ``order``.
 

@@ -109,12 +109,47 @@ def test_layout_changes(spark):
 
 
 def test_unified_table(spark):
-    rows = R.unified_table(*tables(spark, *layouts())).collect()
-    assert len(rows) == 180
-    first, last = (next(r for r in rows if r["raw_id"] == i) for i in (0, 179))
-    assert first["fields"]["Colour"] == "red" and first["fields"]["Day"] == "2000-01-02" and first["branches"]["Count"]["whole"] == 0
-    assert set(last["fields"]) == {"Lens ID", "Colour", "Count", "Day", "Sold"}
-    assert last["branches"]["Count"]["text"] == "3 cells" and last["branches"]["Sold"]["truth"] is True
+    x = R.unified_table(*tables(spark, *layouts()))
+    assert dict(x.dtypes)["Day"] == "date" and dict(x.dtypes)["Sold"] == "boolean" and dict(x.dtypes)["Count"] == "struct<whole:decimal(38,0),text:string,canonical:string>"
+    rows = {r["raw_id"]: r for r in x.collect()}
+    assert len(rows) == 180 and x.columns == ["raw_id", "_source_folder", "_source_file", "Lens ID", "Colour", "Count", "Day", "Sold"]
+    assert rows[0]["Colour"] == "red" and rows[0]["Day"] == dt.date(2000, 1, 2) and rows[0]["Count"]["whole"] == 0 and rows[0]["Count"]["text"] is None and rows[0]["Sold"] is None
+    assert rows[179]["Count"]["text"] == rows[179]["Count"]["canonical"] == "3 cells" and rows[179]["Count"]["whole"] is None and rows[179]["Sold"] is True
+
+
+def test_a_name_that_comes_back_is_another_field(spark):
+    files = [("a", "1", ",", "Lens ID,Name"), ("a", "2", ",", "Lens ID,Title"), ("a", "3", ",", "Lens ID,Title,Name")]
+    words = ["red cell", "green cell", "blue cell", "grey cell", "black cell"]
+    rows = [("a", "1", f"{ID},{words[i % 5]}") for i in range(40)] + [("a", "2", f"{ID},{words[i % 5]}") for i in range(40)] + [("a", "3", f"{ID},{words[i % 5]},{i}") for i in range(40)]
+    r, e = tables(spark, files, rows)
+    assert {tuple(x[1:]) for x in R.layout_changes(r, e).collect()} == {("2", "renamed", "Name", "Title"), ("3", "added", "Name", "Name")}
+    x = R.unified_table(r, e)
+    assert x.columns[3:] == ["Lens ID", "Name", "Name (2)"] and dict(x.dtypes)["Name (2)"] == "decimal(38,0)"
+    got = {row["raw_id"]: row for row in x.collect()}
+    assert len(got) == 120 and got[0]["Name"] == got[80]["Name"] == "red cell" and got[0]["Name (2)"] is None and got[81]["Name (2)"] == 1
+
+
+def test_a_header_may_repeat_a_name(spark):
+    r, e = tables(spark, [("a", "1", ",", "Lens ID,X,X,x"), ("b", "1", ",", "X,lens_id,Y")], [("a", "1", f"{ID},{i},t{i},") for i in range(20)] + [("b", "1", f"{i}.5,{ID},z") for i in range(20)])
+    x = R.unified_table(r, e)
+    assert x.columns[3:] == ["Lens ID", "X", "X (2)", "x (3)", "Y"] and dict(x.dtypes)["X"] == "double"  # fields of both folders meet by name
+    rows = {row["raw_id"]: row for row in x.collect()}
+    assert len(rows) == 40 and rows[3]["X"] == 3.0 and rows[3]["X (2)"] == "t3" and rows[3]["x (3)"] is None and rows[23]["X"] == 3.5 and rows[23]["Y"] == "z" and rows[23]["Lens ID"] == ID
+    assert R.layout_changes(r, e).count() == 0
+
+
+def test_fields_that_leave_and_return():
+    f = lambda file, names, **renames: {"file": file, "names": names, "types": {}, "renames": renames}
+    got = R.follow_fields([f(1, ["a", "b"]), f(2, ["b"]), f(3, ["a", "b"]), f(4, ["b", "c"], c="a"), f(5, ["a", "b", "c"])])
+    assert [(x.name, x.at) for x in got] == [("a", {1: 0, 3: 0, 4: 1, 5: 2}), ("b", {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}), ("a", {5: 0})]
+
+
+def test_failing_records_are_those_that_do_not_load(spark, data):
+    raw, files = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("raw_records", "export_files"))
+    loaded = {x["raw_id"]: x["fail_reason"] for x in R.load_records(raw, files).collect()}
+    assert {x["raw_id"]: x["fail_reason"] for x in R.failing_records(raw, files).collect()} == {k: v for k, v in loaded.items() if v} and len(loaded) == raw.count()
+    table = R.unified_table(raw, files)
+    assert {x["raw_id"] for x in table.collect()} == {k for k, v in loaded.items() if not v}
 
 
 def test_clashing_extra_columns(spark):
@@ -123,7 +158,7 @@ def test_clashing_extra_columns(spark):
     assert R.load_records(r, e).where("fail_reason is null").count() == 180
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p5_found", "p3_types"])
+@pytest.mark.parametrize("name", ["p3_found", "p5_found", "p3_types", "p3_table", "p5_loaded"])
 def test_queries_run(spark, data, name):
     from corpusloom.plans.queries import QUERIES
 
