@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import strip
-from corpusloom.session import cut_lineage, small_side, written
+from corpusloom.session import cut_lineage, over_cores, small_side, written
 
 FILE = ["_source_folder", "_source_file"]
 #: Share of filled values that makes "nearly all".
@@ -119,7 +119,7 @@ def _split(raw: DataFrame, head: DataFrame, delims: list[str], id_field: str) ->
     id_at = F.array_position(F.transform("names", plain), plain(F.lit(id_field))).cast("int")
     head = small_side(head.select(*FILE, "delim", "names", "file_year", id_at.alias("id_at")))
     keep = [c for c in raw.columns if c in ("raw_id", *FILE, "record_no", "raw_text", "read_at")]
-    x = raw.select(*keep).join(head, FILE, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    x = over_cores(raw.select(*keep), "raw_id").join(head, FILE, "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     x = x.withColumn("parts", _fields(delims, _body()))
     reason = (
         F.when(F.col("delim").isNull(), "too_many_fields").when(F.col("parts").isNull(), "broken_quoting")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates, stats, text
 from corpusloom.operators import cluster, dedup, embed, evidence, measure, raw_records, sampling, terms, validate, vectors
 from corpusloom.plans import vocab as V
-from corpusloom.session import cut_lineage, read, shared_folder
+from corpusloom.session import cut_lineage, over_cores, read, shared_folder
 from corpusloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def is_grant(c: str = "document_type") -> Column:
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.apply_rule(evidence.tag_evidence(records(spark, d), V.VOCAB))
+    return evidence.apply_rule(evidence.tag_evidence(over_cores(records(spark, d), "rec_id"), V.VOCAB))
 
 
 def classed(spark: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def over_cores(df: DataFrame, by: str) -> DataFrame:
+    """``df`` by hash of ``by`` over all cores if its scan has fewer tasks than there are (a few small files), for work
+    that costs far more than the shuffle; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, by)
+
+
 def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """``df`` with the inclusive running sum of ``value`` in the order of the (distinct) values of ``order``.
 
