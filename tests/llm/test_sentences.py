@@ -30,6 +30,34 @@ CASES = [
 ]
 
 
+#: Abbreviations that are words too, of other languages, before labels and names.
+ABBREVIATIONS = [
+    "The answer is no.|We continue with it.",
+    "They sell art.|Buyers come daily.",
+    "He opened the app.|Nothing happened.",
+    "The input is max.|The output is min.|The rest is temp.|Done.",
+    "Vitamin C.|It helps.",
+    "Pick plan B.|Then go.",
+    "It is one of the kind.|See ref.|Then stop.",
+    "It is prior art.|The core is new.|It is 5 mm.|Then 10 min.|After that it ends.",
+    "Die eingangs genannte Art.|Die Form ist neu, vgl. Abb. 5 und Abs. B der Schrift.",
+    "Он живёт в г. Москва и работает, см. рис. 5 и стр. 7.|Это всё, что есть.",
+    "J. Smith came with Dr. Brown to No. 5 of Fig. A and Sec. IV of it.|Max. voltage is read, and max. 5 of them.",
+    "Il voit M. Dupont et Mme. Blanc dans la rue.|Les autres sont p. ex. ici.",
+]
+
+
+@pytest.mark.parametrize("want", ABBREVIATIONS)
+def test_abbreviations_of_the_language(want):
+    assert cut(want.replace("|", " ")) == want.split("|")
+
+
+def test_languages():
+    assert S.languages("Die Zelle ist in der Bank und misst.", "en") >= {"de"} and "en" not in S.languages("Die Zelle ist mit der Bank.", "xx")
+    assert S.languages("", "fr") == {"fr"} and S.languages("Kern", None) == {"en"} and "hi" in S.languages("यह है", "en") and S.languages("これは", None) == {"en"}
+    assert S.languages("The cell is read. Die Zelle ist mit der Bank.") == {"en", "de"}
+
+
 @pytest.mark.parametrize("text, want", CASES)
 def test_scripts(text, want):
     assert cut(text) == want.split("|")
