@@ -45,3 +45,9 @@ def band(score: Column, bands: list[tuple[float, float]]) -> Column:
     for lo, hi in bands:
         c = F.when((score >= lo) & (score < hi), f"{lo:.2f}-{hi:.2f}").otherwise(c)
     return c
+
+
+def progress(done: int, total: int, seconds: float) -> dict:
+    """Rows done and in all, rows a second and the seconds left at that rate (None before the first row)."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return {"done": done, "total": total, "per_second": rate, "seconds_left": (total - done) / rate if rate > 0 else None}

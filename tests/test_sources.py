@@ -24,20 +24,68 @@ def test_scan(spark, folder):
     assert {r["_source_file"]: r["n_rows"] for r in folders.row_counts(rows).collect()} == {"2011.csv": 3, "2012.CSV": 1}
 
 
-def test_drift(folder):
+def test_an_empty_field_too_many_is_bad(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,2\n3,4,\n5,\n,6\n"",7,""\n8\n')
+    got = {(r["x"], r["y"]): r["_bad"] for r in folders.read_file(spark, str(tmp_path / "a.csv")).collect()}
+    assert got == {("1", "2"): False, ("3", "4"): True, ("5", None): False, (None, "6"): False, (None, "7"): True, ("8", None): False}
+
+
+def test_scan_log_and_file_sample(spark, folder):
+    rows, bad, failed = folders.scan(spark, folder, "s")
+    log = {r["_source_file"]: (r["n_rows"], r["n_bad"], r["error"]) for r in folders.scan_log(rows, bad, [*failed, ("/x/broken.csv", "why")]).collect()}
+    assert log == {"2011.csv": (3, 1, None), "2012.CSV": (1, 0, None), "broken.csv": (0, 0, "why")}
+    assert [f.rsplit("/", 1)[1] for f in folders.files_of(folder, 1)] == ["2011.csv"] and folders.scan(spark, folder, "s", 1)[0].count() == 3
+
+
+def test_chunks_resume(spark, tmp_path):
+    p, seen = str(tmp_path / "chunks"), []
+    double = lambda x: x.withColumn("v", F.col("id") * 2)
+    assert sinks.append_chunks(spark.range(50), double, p, "id", limit=20, tell=seen.append) == 20
+    assert {r["id"] for r in spark.read.parquet(p).collect()} == set(range(20))
+    assert sinks.append_chunks(spark.range(50), double, p, "id", chunks=4, tell=seen.append) == 30
+    assert sinks.append_chunks(spark.range(50), double, p, "id") == 0
+    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(p).collect()) == [(i, 2 * i) for i in range(50)]
+    assert seen[-1]["done"] == seen[-1]["total"] == 30 and seen[-1]["seconds_left"] == 0
+
+
+def test_progress():
+    from corpusloom.functions.stats import progress
+
+    assert progress(50, 200, 5.0) == {"done": 50, "total": 200, "per_second": 10.0, "seconds_left": 15.0}
+    assert progress(0, 10, 0.0)["seconds_left"] is None
+
+
+def test_a_labelled_sheet_is_not_overwritten(spark, tmp_path):
+    p = str(tmp_path / "sheet")
+    x = spark.range(3).withColumns({"label": F.lit(""), "notes": F.lit("")})
+    sinks.write_sheet(x, p, ["label", "notes"])
+    sinks.write_sheet(x, p, ["label", "notes"])  # nothing is filled in yet
+    sinks.write_csv(x.withColumn("label", F.when(F.col("id") == 1, "Y").otherwise("")), p)
+    with pytest.raises(FileExistsError):
+        sinks.write_sheet(x, p, ["label", "notes"])
+
+
+def test_odd_types_become_text(spark, tmp_path):
+    x = spark.range(1).select("id", F.lit(None).alias("v"), F.create_map(F.lit("a"), F.lit(1)).alias("m"), F.lit("r").alias("#"))
+    out = sinks.write_parquet(x, str(tmp_path / "t"))
+    assert dict(out.dtypes) == {"id": "bigint", "v": "string", "m": "string"} and out.first()["m"] == '{"a":1}'
+
+
+def test_drift(spark, folder):
     assert len(folders.schema_groups(folder)) == 2
     assert folders.drift(folder) == (["#", "Lens ID", "Title"], {"X": ["2011.csv"], "Y": ["2012.CSV"]})
 
 
 def test_head_and_prune(spark, folder):
-    good, n_bad = folders.head(spark, f"{folder}/2011.csv", 3)
-    assert good.count() == 2 and n_bad == 1
+    good, n_bad, first = folders.head(spark, f"{folder}/2011.csv", 3)
+    assert good.count() == 2 and n_bad == 1 and json.loads(first)["Lens ID"] == "c"
+    assert folders.head(spark, f"{folder}/2012.CSV")[1:] == (0, None)
     assert folders.prune(good, lambda c: "Lens" in c).columns == ["Lens ID"] and folders.column_with(good, "Tit") == "Title"
     with pytest.raises(KeyError):
         folders.column_with(good, "CPC")
 
 
-def test_no_files(tmp_path):
+def test_no_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         folders.files_of(str(tmp_path))
 
@@ -46,7 +94,7 @@ def test_no_files(tmp_path):
 def test_encodings(spark, tmp_path, enc, text):
     p = tmp_path / "s.csv"
     p.write_bytes(f"a,b\n{text},1\n".encode(enc))
-    assert folders.encoding_of(str(p)) == enc
+    assert folders.encoding_of(p.read_bytes()) == enc
     assert folders.read_small(spark, str(p)).first()[0] == text
 
 
@@ -58,7 +106,7 @@ def test_sinks(spark, tmp_path, folder):
     sinks.write_lines(bad, str(tmp_path / "b"))
     assert spark.read.text(str(tmp_path / "b")).count() == 1
     sinks.write_manifest(str(tmp_path / "m.json"), n=1)
-    assert sinks.read_manifest(str(tmp_path / "m.json")) == {"n": 1} and sinks.read_manifest(str(tmp_path / "none")) == {}
+    assert sinks.read_manifest(str(tmp_path / "m.json")) ["n"] == 1 and sinks.read_manifest(str(tmp_path / "none")) == {}
     assert json.loads((tmp_path / "m.json").read_text())["n"] == 1
 
 
@@ -97,6 +145,6 @@ def test_stream_windows(spark, tmp_path):
     assert sum(r["n"] for r in spark.read.parquet(str(tmp_path / "o")).collect()) >= 0
 
 
-def test_report(tmp_path):
+def test_report(spark, tmp_path):
     sinks.write_report(str(tmp_path / "r.txt"), ["a", "b"])
     assert (tmp_path / "r.txt").read_text() == "a\nb"
