@@ -66,7 +66,7 @@ def distance_sums(x: DataFrame, codes: DataFrame, block_bytes: int = BLOCK_BYTES
                         sums[s] = d @ hot
                 yield pd.DataFrame({"id": p["id"], "i": p["i"], "s": list(sums)})
 
-        parts.append(cut_lineage(x.mapInPandas(run, "id long, i int, s array<double>")))
+        parts.append(cut_lineage(x.mapInPandas(run, f"id {x.schema['id'].dataType.simpleString()}, i int, s array<double>")))
         held.destroy()
     sums = parts[0]
     for p in parts[1:]:

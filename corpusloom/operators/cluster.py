@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.functions.stats import percent
 from corpusloom.operators import density
 from corpusloom.operators.blocks import BLOCK_BYTES, distance_sums, spread
 from corpusloom.operators.measure import eta_squared
-from corpusloom.session import cut_lineage, running_total
+from corpusloom.session import cut_lineage, exact_quantiles, running_total
 
 def reduce_dimensions(df: DataFrame, vec: str, k: int) -> DataFrame:
     """``df`` with ``reduced``: principal components. Rows with a null vector are left out."""
@@ -132,8 +134,6 @@ def select_configurations(rows: DataFrame, by: list[str], least: int = 15, most:
 def ablation(df: DataFrame, id_col: str, views: dict[str, str], base: dict[str, float], vary: dict[str, list[float]], value: str, dims: int, min_size: int, min_samples: int) -> DataFrame:
     """Clusterings with one view's weight varied at a time, each compared with that view at weight 0: (view, weight,
     n_clusters, noise_frac, eta2, ari_vs_zero, nmi_vs_zero). The driver loops over configurations, not over data."""
-    from functools import reduce
-
     from corpusloom.operators.vectors import fuse
 
     spark, out = df.sparkSession, []
@@ -165,5 +165,49 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def centroids(df: DataFrame, cluster: str, x: str, y: str, noise: int = -1) -> DataFrame:
-    """Size and coordinate medians of each cluster, noise left out."""
-    return df.where(F.col(cluster) != noise).groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.median(x).cast("double").alias("cx"), F.median(y).cast("double").alias("cy"))
+    """Size and exact coordinate medians of each cluster, noise left out."""
+    real = df.where(F.col(cluster) != noise).select(F.col(cluster).alias("cluster"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    n = real.groupBy("cluster").agg(F.count("*").alias("n"))
+    mid = lambda c, out: exact_quantiles(real, ["cluster"], c, (0.5,)).select("cluster", F.get("q", 0).alias(out))
+    return n.join(mid("_x", "cx"), "cluster", "left").join(mid("_y", "cy"), "cluster", "left")
+
+
+def cluster_map(df: DataFrame, cluster: str, x: str, y: str, year: str, names: DataFrame | None = None, manual: dict[int, str] | None = None, largest: int = 8, noise: int = -1) -> DataFrame:
+    """(cluster, n, pct, median_year, cx, cy, name, annotated) of each cluster, largest first: its share of all rows, its
+    median year and coordinates, the manual name, else that of ``names`` (cluster, name), else C and its number, and
+    whether it is one of the ``largest`` to be annotated (ties by number). Noise counts in the share only."""
+    total = df.agg(F.count("*").alias("_all")).withColumn("_1", F.lit(1))
+    mid = exact_quantiles(df.where(F.col(cluster) != noise).select(F.col(cluster).alias("cluster"), F.col(year).alias("_y")), ["cluster"], "_y", (0.5,)).select("cluster", F.get("q", 0).alias("median_year"))
+    t = centroids(df, cluster, x, y, noise).join(mid, "cluster", "left").withColumn("_1", F.lit(1)).join(total, "_1")
+    name = F.concat(F.lit("C"), F.col("cluster").cast("string"))
+    if names is not None:
+        t = t.join(names.select(F.col("cluster").alias("_c"), F.col("name").alias("_name")), F.col("cluster") == F.col("_c"), "left")
+        name = F.coalesce("_name", name)
+    for c, given in (manual or {}).items():
+        name = F.when(F.col("cluster") == c, given).otherwise(name)
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "cluster"))  # one row per cluster
+    return t.select("cluster", "n", percent(F.col("n"), F.col("_all")).alias("pct"), "median_year", "cx", "cy", name.alias("name"), (rank <= largest).alias("annotated")).orderBy(F.desc("n"), "cluster")
+
+
+def recommend(rows: DataFrame, least: int = 15, most: int = 40, too_large: float = 40.0) -> DataFrame:
+    """``rows`` of a grid in the order in which to look at them: a number of clusters inside [least, most] first, then the
+    greater silhouette, refused ones (fewer than three clusters, or one above ``too_large`` percent) last; and
+    ``recommended`` for the first, if it is not refused. Other columns break ties."""
+    refused, fits = (F.col("k") < 3) | (F.col("largest_pct") > too_large), F.col("k").between(least, most)
+    order = [refused.asc(), fits.desc(), F.col("silhouette").desc_nulls_last(), *[F.col(c).asc() for c in rows.columns if c != "silhouette"]]
+    return rows.withColumn("recommended", (F.row_number().over(Window.orderBy(*order)) == 1) & ~refused).orderBy(*order)
+
+
+def representation_grid(df: DataFrame, id_col: str, views: dict[int, dict[str, str]], weights: list[float], varied: str, base: dict[str, float], dims: int, sizes: list[int], samples: list[int]) -> DataFrame:
+    """``grid`` of every representation: (granularity, weight) and the columns of ``grid``. ``views``: granularity -> view
+    -> column; the weight of the view ``varied`` runs over ``weights``. The driver loops over configurations, not data."""
+    from corpusloom.operators.vectors import fuse
+
+    out = []
+    for g, columns in views.items():
+        for w in weights:
+            conf = base | {varied: w}
+            fused = fuse(df, {n: (F.col(c), conf.get(n, 0.0)) for n, c in columns.items()})
+            rows = grid(reduce_dimensions(fused, "fused", dims), id_col, "reduced", sizes, samples)
+            out.append(rows.select(F.lit(g).alias("granularity"), F.lit(float(w)).alias("weight"), "*"))
+    return reduce(DataFrame.unionByName, out)

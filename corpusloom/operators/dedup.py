@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.stats import percent
-from corpusloom.functions.text import usable_key
+from corpusloom.functions.text import split_list, usable_key
 
 
 def union_shared(frames: list[DataFrame]) -> DataFrame:
@@ -109,3 +109,18 @@ def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default: str =
     the smallest value."""
     one = table.groupBy(key).agg(F.min(value).alias(value))
     return df.join(one, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def union_distinct(frames: list[DataFrame], key: list[str]) -> DataFrame:
+    """The frames' shared columns under each other, one row per key: that of the first frame that has it, and of its
+    rows the least."""
+    tagged = [f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)]
+    x = union_shared(tagged)
+    return keep_first(x, key, ["_frame", *[c for c in x.columns if c not in ("_frame", *key)]]).drop("_frame")
+
+
+def canonical_list(c: Column, table: dict[str, str], sep: str = ",") -> Column:
+    """Distinct canonical names of the elements of a delimited cell; an element that the table does not know stays as
+    it is written, trimmed. Null and blank cells give an empty array."""
+    names = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_distinct(F.transform(split_list(c, sep), lambda x: F.coalesce(F.try_element_at(names, F.upper(x)), x)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import code_slices, split_codes
 from corpusloom.operators.terms import with_terms
+from corpusloom.sources.sinks import append_chunks
 
 Encoder = Callable[[list[str]], list[list[float]]]
 
@@ -25,7 +26,14 @@ def encode_with(df: DataFrame, id_col: str, text: str, encoder: Encoder, batch:
             vecs = [v for i in range(0, len(texts), batch) for v in encoder(texts[i : i + batch])]
             yield pd.DataFrame({"id": p["id"], "embedding": [[float(x) for x in v] for v in vecs]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInPandas(run, "id long, embedding array<float>").withColumnRenamed("id", id_col)
+    x = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return x.mapInPandas(run, f"id {x.schema['id'].dataType.simpleString()}, embedding array<float>").withColumnRenamed("id", id_col)
+
+
+def encode_resumably(df: DataFrame, id_col: str, text: str, encoder: Encoder, path: str, chunks: int = 8, limit: int | None = None, tell: Callable[[dict], None] = lambda _: None) -> int:
+    """Appends the embeddings of the rows that the table at ``path`` does not hold, chunk by chunk; a run that ends early
+    goes on where it stopped. ``limit``: at most so many rows in this run. ``tell`` gets rows done, rate and time left."""
+    return append_chunks(df.select(id_col, text), lambda x: encode_with(x, id_col, text, encoder), path, id_col, chunks, limit, tell)
 
 
 def hashed_tfidf(df: DataFrame, id_col: str, text: str, dims: int = 256) -> DataFrame:

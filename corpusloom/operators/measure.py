@@ -114,12 +114,16 @@ def cluster_years(df: DataFrame, cluster: str, year: str, noise: int = -1) -> Da
 
 def eta_squared(df: DataFrame, value: str, cluster: str, noise: int = -1, least: int = 10) -> DataFrame:
     """Share of a value's variance that the clusters explain. Null below ``least`` non-noise rows, or without
-    variance. Sums only: two passes of partial aggregation."""
+    variance. From the mean and variance of each cluster, taken about the means, so that values far from 0 lose no
+    digits."""
     x = df.where(F.col(cluster) != noise)
-    per = x.groupBy(cluster).agg(F.count("*").alias("m"), F.count(value).alias("n"), F.sum(F.col(value).cast("double")).alias("s"), F.sum(F.col(value).cast("double") * F.col(value)).alias("q"))
-    t = per.agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.when(F.col("n") > 0, F.col("s") * F.col("s") / F.col("n"))).alias("b"))
-    sst, ssb = F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    return t.select(F.when((F.col("m") >= least) & (F.col("n") > 0) & (sst > 1e-9), ssb / sst).alias("eta2"))
+    v = F.col(value).cast("double")
+    per = x.groupBy(cluster).agg(F.count("*").alias("m"), F.count(v).alias("n"), F.avg(v).alias("a"), F.var_pop(v).alias("s")).withColumn("_1", F.lit(1))
+    grand = per.agg((F.sum(F.col("n") * F.col("a")) / F.nullif(F.sum("n"), F.lit(0))).alias("g")).withColumn("_1", F.lit(1))
+    off = F.col("a") - F.col("g")
+    t = per.join(grand, "_1").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("s")).alias("inside"), F.sum(F.col("n") * off * off).alias("between"))
+    all_ = F.col("inside") + F.col("between")
+    return t.select(F.when((F.col("m") >= least) & (F.col("n") > 0) & (all_ > 1e-9), F.col("between") / all_).alias("eta2"))
 
 
 def impute_scale(df: DataFrame, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.stats import band
+from corpusloom.functions.text import strip
 
 
 def draw_key(id_col: str, seed: int = 42) -> Column:
@@ -51,4 +52,4 @@ def band_sample(df: DataFrame, score: str, id_col: str, bands: list[tuple[float,
 def merge_labels(sample: DataFrame, labels: DataFrame, id_col: str, label_columns: list[str]) -> DataFrame:
     """A sample with the labels of a sheet, stale label columns replaced, blanks where there is none."""
     x = sample.drop(*label_columns).join(labels.select(id_col, *label_columns), id_col, "left")
-    return x.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in label_columns})
+    return x.withColumns({c: strip(F.coalesce(c, F.lit(""))) for c in label_columns})

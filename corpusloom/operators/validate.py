@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.stats import kappa, kappa_band, wilson
+from corpusloom.functions.stats import kappa, kappa_band, percent, wilson
 from corpusloom.functions.text import strip
 
 
@@ -92,3 +92,16 @@ def band_precision(df: DataFrame, score: str, gold: str, bands: list[tuple[float
     one = x.agg(*aggs)
     rows = one.select(F.explode(F.array(*[F.struct(F.lit(f"{lo:.2f}-{hi:.2f}").alias("band"), F.col(f"n{i}").alias("n"), F.col(f"y{i}").alias("n_yes"), F.col(f"cn{i}").alias("cum_n"), F.col(f"cy{i}").alias("cum_yes")) for i, (lo, hi) in enumerate(bands)])).alias("r")).select("r.*")
     return rows.withColumn("precision", F.when(F.col("n") > 0, F.col("n_yes") / F.col("n"))).withColumn("cum_precision", F.when(F.col("cum_n") >= least, F.col("cum_yes") / F.col("cum_n")))
+
+
+def label_report(df: DataFrame, gold: str, side: str, about: Column) -> DataFrame:
+    """(measure, k, n, pct, lo, hi) with Wilson intervals: precision (yes among retained), false_negatives (yes among
+    near misses), far_positives (yes among far ones) and about (labelled retained records of the subject class). Only
+    valid labels count; a borderline label is no yes. An empty stratum gives null rates."""
+    x = df.where(F.col(gold).isin("Y", "N", "B"))
+    yes, at = F.col(gold) == "Y", lambda s: F.col(side) == s
+    parts = {"precision": ("retained", yes), "false_negatives": ("excluded_near", yes), "far_positives": ("excluded_far", yes), "about": ("retained", F.coalesce(about, F.lit(False)))}
+    one = x.agg(*[F.count_if(at(s)).alias(f"n{i}") for i, (s, _) in enumerate(parts.values())], *[F.count_if(at(s) & c).alias(f"k{i}") for i, (s, c) in enumerate(parts.values())])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"k{i}").alias("k"), F.col(f"n{i}").alias("n")) for i, m in enumerate(parts)])).alias("r")).select("r.*")
+    lo, hi = wilson(F.col("k"), F.col("n"))
+    return rows.withColumns({"pct": percent(F.col("k"), F.col("n")), "lo": lo, "hi": hi})

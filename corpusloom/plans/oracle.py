@@ -283,4 +283,18 @@ select round(avg(case when n > 1 then (b - a) / greatest(a, b) else 0 end), 6) a
     "stratified_sample": _DRAWN + " select rec_id, side from drawn",
     "blind_sheet": _DRAWN + " select rec_id, display_key, row_number() over (order by draw, rec_id) as row, '' as is_topic, '' as notes from drawn",
     "band_sample": _SEED + f", b as (select vec_id, {_band('score', V.LOW_BANDS, 'null')} as band, md5(vec_id::varchar || '|42') as draw from scores where not is_seed) select vec_id, band from (select *, row_number() over (partition by band order by draw, vec_id) as rn from b where band is not null) where rn <= 20",
+    "label_report": _TAGGED + _LABELS + f""", x as (select gold, side, coalesce({_strip('architecture')}, '') <> '' and upper(trim(architecture)) <> 'NONE' as about from lab where gold in ('Y', 'N', 'B')),
+t as (select 'precision' as measure, count(*) filter (where side = 'retained' and gold = 'Y') as k, count(*) filter (where side = 'retained') as n_records from x union all select 'false_negatives', count(*) filter (where side = 'excluded_near' and gold = 'Y'), count(*) filter (where side = 'excluded_near') from x
+ union all select 'far_positives', count(*) filter (where side = 'excluded_far' and gold = 'Y'), count(*) filter (where side = 'excluded_far') from x union all select 'about', count(*) filter (where side = 'retained' and about), count(*) filter (where side = 'retained') from x)
+select measure, k, n_records as n, round(100.0::double * k / nullif(n_records, 0), 6) as pct, round({_wilson('k', 'n_records')[0]}, 6) as lo, round({_wilson('k', 'n_records')[1]}, 6) as hi from t""",
+    "merged_labels": _TAGGED + _LABELS + ", b as (select publication_number, is_ai_hardware as second from (select *, row_number() over (partition by publication_number order by labelled_at desc, label2_id desc) as rn from validation_labels_annotator2) where rn = 1) select lab.publication_number, gold, " + _strip("coalesce(b.second, '')") + " as second from lab left join b on lab.publication_number = b.publication_number",
+    "category_sets": "with x as (select label_id, list_filter(list_transform(list_filter(list_transform(string_split(coalesce(architecture, ''), ','), lambda x: " + _strip("x") + "), lambda x: x <> ''), lambda x: " + _hint("x") + "), lambda x: x <> '') as h from validation_labels) select label_id, array_to_string(list_sort(list_distinct(list_transform(h, lambda x: " + _canon("x", "x") + "))), ',') as categories from x",
+    "ratio_rank_agreement": _CLASSED + _annual() + _annual("filing_year") + """, x as (select case when p.full_pct > 0 then p.inside_pct / p.full_pct end as a, case when f.full_pct > 0 then f.inside_pct / f.full_pct end as b from pooled_pub_year p join pooled_filing_year f using (category)),
+r as (select rank() over (order by round(a, 6)) + (count(*) over (partition by round(a, 6)) - 1) / 2.0::double as ra, rank() over (order by round(b, 6)) + (count(*) over (partition by round(b, 6)) - 1) / 2.0::double as rb from x where a is not null and b is not null) select round(corr(ra, rb), 6) as rho from r""",
+    "expansion_union": _SEED + f", b as (select vec_id, {_band('score', V.LOW_BANDS, 'null')} as band, md5(vec_id::varchar || '|42') as draw from scores where not is_seed), drawn as (select vec_id from (select *, row_number() over (partition by band order by draw, vec_id) as rn from b where band is not null) where rn <= 20), u as (select vec_id, min(o) as o from (select vec_id, 1 as o from scores where is_seed union all select vec_id, 2 from scores where not is_seed and score >= 0.2 union all select vec_id, 3 from drawn) group by 1) select case o when 1 then 'seed' when 2 then 'accepted' else 'sample' end as part, count(*) as n from u group by 1",
+    "vector_alignment": "with r as (select count(*) as n, count(*) filter (where rec_id in (select vec_id from embeddings)) as m from stage1_corpus), v as (select count(*) as n, count(*) filter (where vec_id in (select rec_id from stage1_corpus)) as m from embeddings) select r.n as n_records, v.n as n_vectors, r.m as n_aligned, r.n - r.m as n_without_vector, v.n - v.m as n_without_record, r.n = r.m and v.n = v.m as complete from r, v",
+    "aligned_eta_squared": "with x as (select label, pub_year::double as y from embeddings join stage1_corpus on vec_id = rec_id where label <> -1), g as (select avg(y) as m from x), s as (select sum((y - m) * (y - m)) as t from x cross join g), b as (select sum(n * (a - m) * (a - m)) as b from (select label, count(y) as n, avg(y) as a from x group by 1) cross join g) select round(b / t, 6) as eta2 from s cross join b",
+    "aligned_cluster_years": "select label as cluster, pub_year::int as year, count(*) as n from embeddings join stage1_corpus on vec_id = rec_id where label <> -1 and pub_year is not null group by 1, 2",
+    "cluster_map": "with x as (select label, pub_year, embedding[1]::double as x, embedding[2]::double as y from embeddings join stage1_corpus on vec_id = rec_id), t as (select label as cluster, count(*) as n, 100.0::double * count(*) / (select count(*) from x) as pct, median(pub_year)::double as m, median(x) as cx, median(y) as cy from x where label <> -1 group by 1) select cluster, n, round(pct, 6) as pct, round(m, 6) as median_year, round(cx, 6) as cx, round(cy, 6) as cy, case when cluster = 0 then 'seeds' else 'C' || cluster end as name, row_number() over (order by n desc, cluster) <= 3 as annotated from t",
+    "resumable_embedding": "select greatest(1, count(*) // 3)::bigint as n_first, count(*) - greatest(1, count(*) // 3)::bigint as n_second, count(*) as n, count(distinct rec_id) as n_ids, 5::bigint as dims from stage1_corpus",
 }

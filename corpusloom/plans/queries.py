@@ -393,6 +393,12 @@ def ratio_robustness(spark, d):
     return rounded(by_pub.join(by_filing, "category"), "ratio_pub", "ratio_filing").orderBy("ratio_pub")
 
 
+@query
+def ratio_rank_agreement(spark, d):
+    """Do both ways to date records rank the categories alike?"""
+    return rounded(cluster.spearman(ratio_robustness(spark, d), "ratio_pub", "ratio_filing"), "rho")
+
+
 @query
 def year_histogram(spark, d):
     return measure.year_histogram(tagged(spark, d).where("in_corpus"), "pub_year", 2012)
@@ -471,6 +477,27 @@ def class_confusion(spark, d):
     return rounded(validate.class_confusion(x, "gold_set", "labels", CLASSES, F.coalesce("stage", F.lit("none"))), "precision", "recall")
 
 
+@query
+def label_report(spark, d):
+    about = F.coalesce(text.strip(F.col("architecture")), F.lit("")) != ""
+    return rounded(validate.label_report(_labels(spark, d), "gold", "side", about & (F.upper(F.trim("architecture")) != "NONE")), "pct", "lo", "hi")
+
+
+@query
+def merged_labels(spark, d):
+    """The first sheet with a stale second label, replaced by what the second sheet says."""
+    b = read(spark, d, "validation_labels_annotator2").groupBy("publication_number").agg(F.max_by("is_ai_hardware", F.struct("labelled_at", "label2_id")).alias("second"))
+    return sampling.merge_labels(_labels(spark, d).select("publication_number", "gold", F.lit("stale").alias("second")), b, "publication_number", ["second"])
+
+
+@query
+def category_sets(spark, d):
+    """Labels that name several categories, each led to its canonical name by its own hint."""
+    one = lambda x: evidence.first_hint(x, V.HINTS)
+    x = read(spark, d, "validation_labels").select("label_id", F.array_join(F.filter(F.transform(text.split_list(F.col("architecture"), ","), one), lambda h: h != ""), ",").alias("hints"))
+    return x.select("label_id", F.array_join(F.array_sort(dedup.canonical_list(F.col("hints"), V.CANONICAL)), ",").alias("categories"))
+
+
 @query
 def none_cross(spark, d):
     x = _judged(spark, d).withColumn("gold_set", F.when(F.upper(F.trim("architecture")) == "NONE", F.array(F.lit("NONE"))).when(F.col("architecture").isNotNull(), F.array(F.lit("class"))).otherwise(F.array().cast("array<string>")))
@@ -527,6 +554,54 @@ def expand_accept(spark, d):
     return acc.join(read(spark, d, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query
+def expansion_union(spark, d):
+    """Seeds, accepted candidates and the best of every band under each other, each row once."""
+    x = _seeded(spark, d).withColumn("score", r6("score"))
+    parts = [x.where("is_seed"), vectors.accept(x, 0.2), sampling.band_sample(x.where("not is_seed"), "score", "vec_id", V.LOW_BANDS, 20)]
+    return dedup.union_distinct([p.select("vec_id", F.lit(n).alias("part")) for n, p in zip(("seed", "accepted", "sample"), parts)], ["vec_id"]).groupBy("part").agg(F.count("*").alias("n"))
+
+
+def _aligned(spark, d) -> tuple[DataFrame, DataFrame]:
+    return vectors.align(records(spark, d).select("rec_id", "pub_year", "filing_date"), "rec_id", read(spark, d, "embeddings"), "vec_id")
+
+
+@query
+def vector_alignment(spark, d):
+    return _aligned(spark, d)[1]
+
+
+@query
+def aligned_eta_squared(spark, d):
+    return rounded(measure.eta_squared(_aligned(spark, d)[0], "pub_year", "label"), "eta2")
+
+
+@query
+def aligned_cluster_years(spark, d):
+    return measure.cluster_years(_aligned(spark, d)[0], "label", "pub_year")
+
+
+@query
+def cluster_map(spark, d):
+    x = _aligned(spark, d)[0].select("label", "pub_year", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
+    return rounded(cluster.cluster_map(x, "label", "x", "y", "pub_year", manual={0: "seeds"}, largest=3), "pct", "median_year", "cx", "cy")
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A small encoder for the resumable run: shares of the vowels."""
+    return [[t.count(v) / max(len(t), 1) for v in "aeiou"] for t in texts]
+
+
+@query
+def resumable_embedding(spark, d):
+    """Two runs that share the work: the first stops at a third of the records, the second does the rest."""
+    x = records(spark, d).select("rec_id", text.title_and_body(F.col("title"), F.col("abstract")).alias("text"))
+    path = shared_folder(spark)
+    first = embed.encode_resumably(x, "rec_id", "text", _letters, path, limit=max(1, x.count() // 3))
+    second = embed.encode_resumably(x, "rec_id", "text", _letters, path)
+    return spark.read.parquet(path).agg(F.lit(first).cast("bigint").alias("n_first"), F.lit(second).cast("bigint").alias("n_second"), F.count("*").alias("n"), F.countDistinct("rec_id").alias("n_ids"), F.min(F.size("embedding")).cast("bigint").alias("dims"))
+
+
 @query
 def view_fusion(spark, d):
     e = read(spark, d, "embeddings").withColumn("t", F.array((F.col("vec_id") % 7) / 6.0))
@@ -588,6 +663,18 @@ def grid_select(spark, d):
     return cluster.select_configurations(_grid(spark, d).withColumn("g", F.lit("all")), ["g"], too_large=100.0)
 
 
+@query
+def representation_grid(spark, d):
+    """Code heads of 4 and 8 characters x three weights of the codes x three numbers of neighbours x four least sizes."""
+    e = read(spark, d, "embeddings").withColumn("sem", vectors.l2_normalise(F.col("embedding")))
+    coded = e.select("vec_id").join(records(spark, d).select(F.col("rec_id").alias("vec_id"), "cpc_codes"), "vec_id", "left")
+    for g in (4, 8):
+        e = e.join(embed.code_view(coded, "vec_id", "cpc_codes", g)[0].withColumnRenamed("codes_view", f"codes{g}"), "vec_id")
+    views = {g: {"semantic": "sem", "codes": f"codes{g}"} for g in (4, 8)}
+    rows = cluster.representation_grid(cut_lineage(e), "vec_id", views, [0.15, 0.3, 0.6], "codes", {"semantic": 1.0}, 5, [10, 25, 50, 100], [5, 10, 15])
+    return cluster.recommend(rows)
+
+
 @query
 def view_ablation(spark, d):
     e = read(spark, d, "embeddings").withColumn("sem", vectors.l2_normalise(F.col("embedding"))).withColumn("y", (2010 + F.col("vec_id") % 7).cast("double")).withColumn("time", F.array((F.col("y") - 2010) / 6))

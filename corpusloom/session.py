@@ -71,6 +71,26 @@ def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return x.join(table, "_part").withColumn(out, F.col("_before") + F.sum(value).over(w)).drop("_part", "_before")
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """(group columns, n, q): the exact quantiles of a value per group, interpolated between neighbours, as an array in
+    the order of ``at``. Nulls do not count. Values are ranked range by range, so no task holds a group's values."""
+    x = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_x"))
+    x = cut_lineage(x.repartitionByRange(*group, "_x").withColumn("_part", F.spark_partition_id()))
+    per = x.groupBy(*group, "_part").agg(F.count("*").alias("_m"))  # groups x ranges at most
+    all_parts, upto = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_before", F.coalesce(F.sum("_m").over(upto), F.lit(0))).withColumn("n", F.sum("_m").over(all_parts)).drop("_m")
+    per = per.withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(group)}).withColumnRenamed("_part", "_p")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    rank = F.row_number().over(Window.partitionBy("_part", *group).orderBy("_x")) - 1
+    ranked = x.withColumn("_rank", rank).join(small_side(per), [*same, F.col("_part") == F.col("_p")]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    pos = [F.lit(float(q)) * (F.col("n") - 1) for q in at]
+    ends = ranked.where(F.greatest(*[(F.col("_rank") >= F.floor(p)) & (F.col("_rank") <= F.ceil(p)) for p in pos], F.lit(False), F.lit(False)))
+    pick = lambda p, end: F.max(F.when(F.col("_rank") == end(p), F.col("_x")))
+    t = ends.groupBy(*group, "n").agg(*[pick(p, F.floor).alias(f"_lo{i}") for i, p in enumerate(pos)], *[pick(p, F.ceil).alias(f"_hi{i}") for i, p in enumerate(pos)])
+    q = [F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p)) for i, p in enumerate(pos)]
+    return t.select(*group, "n", F.array(*q).alias("q"))
+
+
 def top_per_group(df: DataFrame, group: str, order: list, k: int, spread: str, salts: int = 64) -> DataFrame:
     """``df`` cut to the first ``k`` rows of each group with ``rank`` from 1. Each (group, salt of ``spread``) is cut
     first, so that no task sees more of a group than its salt's share and salts * k rows."""
