@@ -138,9 +138,19 @@ def filled(c: str) -> str:
     return f"coalesce({bare} not in {_EMPTY} and regexp_matches({bare}, '[\\p{{L}}\\p{{N}}]'), false)"
 
 
+def narrow(c: str) -> str:
+    """SQL: full-width forms replaced by plain ones."""
+    return f"translate({c}, '{_WIDE}', '{_NARROW}')"
+
+
+def bare_key(c: str) -> str:
+    """SQL: a cell in capitals without blanks and punctuation."""
+    return f"upper(regexp_replace({narrow(c)}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g'))"
+
+
 def usable_key(c: str) -> str:
-    """SQL: the bare upper-case key of a cell, or null."""
-    return f"case when {filled(c)} and not regexp_matches({c}, '^[^\\p{{L}}\\p{{N}}]*0*$') then upper(regexp_replace(translate({c}, '{_WIDE}', '{_NARROW}'), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', '', 'g')) end"
+    """SQL: the bare key of a cell that names something, or null."""
+    return f"case when {filled(c)} and not regexp_matches({c}, '^[^\\p{{L}}\\p{{N}}]*0*$') then {bare_key(c)} end"
 
 
 def trimmed(c: str) -> str:
