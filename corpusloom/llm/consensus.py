@@ -1,8 +1,7 @@
 """Consensus of several annotators' yes/no answers by expectation-maximisation over confusion matrices.
 
 Items' last answers are folded to patterns: the sorted list of (annotator, answer) with the number of items that
-have it. Each iteration reads the patterns once and sends two sums per annotator and answer to the driver, so the
-work grows with the patterns and the driver's share only with the number of annotators. Agreement corrected for
+have it. Each iteration reads the patterns once and sends four sums per annotator to the driver, so the work grows with the patterns and the driver's share only with the number of annotators. Agreement corrected for
 chance (Krippendorff's alpha and, per pair, Cohen's kappa) is reported apart from the fit.
 """
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.stats import kappa
 from corpusloom.functions.text import match_key, narrow, strip
-from corpusloom.session import cut_lineage
+from corpusloom.session import cut_lineage, small_side
 
 
 def yes_no(c: Column) -> Column:
@@ -36,42 +35,52 @@ def last_answers(first_sheet: DataFrame, more: DataFrame) -> DataFrame:
     return last.where("answer is not null")
 
 
-def fit(answers: DataFrame, iterations: int = 40, smoothing: float = 1.0, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame, float]:
+#: Up to so many annotators their rates are a literal in the plan; beyond, a table that is joined.
+LITERAL = 1000
+
+
+def fit(answers: DataFrame, iterations: int = 40, smoothing: float = 1.0, tolerance: float = 1e-6, literal: int = LITERAL) -> tuple[DataFrame, DataFrame, float]:
     """Items with the posterior of yes, annotators with their confusion matrix, and the prior of yes.
 
-    Starts at each item's share of yes; the rates are smoothed by ``smoothing`` answers of either kind."""
+    Starts at each item's share of yes; the rates are smoothed by ``smoothing`` answers of either kind. Each iteration
+    is one aggregation, of a row per annotator and one for the prior."""
     spark = answers.sparkSession
-    items = cut_lineage(answers.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "answer"))).alias("votes")))
-    pats = cut_lineage(items.groupBy("votes").agg(F.count("*").alias("n")))
-    prior, odds_y, odds_n = 0.5, None, None
+    items = cut_lineage(answers.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("annotator", "answer"))).alias("votes")).withColumn("_p", F.monotonically_increasing_id()))
+    pats = cut_lineage(items.groupBy("votes").agg(F.count("*").alias("n")).withColumn("_p", F.monotonically_increasing_id()))
+    prior = 0.5
     rates: dict[str, tuple[float, float, int]] = {}
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("annotator"), F.lit("Y").alias("answer")))  # the prior's own row
     for _ in range(iterations):
-        p = _posterior(prior, odds_y, odds_n)
-        one = pats.select("n", p.alias("p"), F.explode("votes").alias("v"))
-        n, p_, yes = F.col("n"), F.col("p"), (F.col("v.answer") == "Y").cast("int")
-        rows = one.groupBy("v.annotator").agg(F.sum(n * p_ * yes).alias("yy"), F.sum(n * p_).alias("y"), F.sum(n * (1 - p_) * (1 - yes)).alias("nn"), F.sum(n * (1 - p_)).alias("no"), F.sum("n").alias("n")).collect()
-        tot = pats.agg(F.sum(F.col("n") * p).alias("y"), F.sum("n").alias("n")).first()
+        one = _scored(pats, prior, rates, literal).select("n", F.col("p_yes").alias("p"), F.explode(F.concat(whole, "votes")).alias("v"))
+        n, p, yes = F.col("n"), F.col("p"), (F.col("v.answer") == "Y").cast("int")
+        rows = one.groupBy("v.annotator").agg(F.sum(n * p * yes).alias("yy"), F.sum(n * p).alias("y"), F.sum(n * (1 - p) * (1 - yes)).alias("nn"), F.sum(n * (1 - p)).alias("no"), F.sum("n").alias("n")).collect()
         if not rows:
             break
-        new = {r["annotator"]: ((r["yy"] + smoothing) / (r["y"] + 2 * smoothing), (r["nn"] + smoothing) / (r["no"] + 2 * smoothing), r["n"]) for r in rows}
+        total = next(r for r in rows if r["annotator"] is None)
+        new = {r["annotator"]: ((r["yy"] + smoothing) / (r["y"] + 2 * smoothing), (r["nn"] + smoothing) / (r["no"] + 2 * smoothing), r["n"]) for r in rows if r["annotator"] is not None}
         moved = max((abs(new[a][i] - rates.get(a, (0, 0, 0))[i]) for a in new for i in (0, 1)), default=0.0)
-        rates, prior = new, (tot["y"] + smoothing) / (tot["n"] + 2 * smoothing)
-        odds_y = {a: math.log(s / (1 - t)) for a, (s, t, _) in rates.items()}
-        odds_n = {a: math.log((1 - s) / t) for a, (s, t, _) in rates.items()}
+        rates, prior = new, (total["y"] + smoothing) / (total["n"] + 2 * smoothing)
         if moved < tolerance:
             break
-    post = items.select("item", "votes", _posterior(prior, odds_y, odds_n).alias("p_yes"))
+    post = _scored(items, prior, rates, literal).select("item", "votes", "p_yes")
     people = spark.createDataFrame([(a, s, t, 1 - s, 1 - t, n) for a, (s, t, n) in sorted(rates.items())], "annotator string, yes_given_yes double, no_given_no double, no_given_yes double, yes_given_no double, n_answers long")
     return post, people, prior
 
 
-def _posterior(prior: float, odds_y: dict | None, odds_n: dict | None) -> Column:
-    if odds_y is None:
-        return F.size(F.filter("votes", lambda v: v["answer"] == "Y")) / F.size("votes")
-    lit = lambda d: F.create_map(*[F.lit(z) for kv in d.items() for z in kv])
-    yes, no = lit(odds_y), lit(odds_n)
-    odds = F.aggregate("votes", F.lit(math.log(prior / (1 - prior))), lambda a, v: a + F.when(v["answer"] == "Y", F.element_at(yes, v["annotator"])).otherwise(F.element_at(no, v["annotator"])))
-    return 1 / (1 + F.exp(-odds))
+def _scored(pats: DataFrame, prior: float, rates: dict[str, tuple[float, float, int]], literal: int) -> DataFrame:
+    """Rows (_p, votes) with ``p_yes``; before the first fit the share of yes."""
+    if not rates:
+        return pats.withColumn("p_yes", F.size(F.filter("votes", lambda v: v["answer"] == "Y")) / F.size("votes"))
+    odds = [(a, math.log(s / (1 - t)), math.log((1 - s) / t)) for a, (s, t, _) in rates.items()]
+    start = math.log(prior / (1 - prior))
+    if len(odds) <= literal:
+        yes, no = (F.create_map(*[F.lit(z) for o in odds for z in (o[0], o[i])]) for i in (1, 2))
+        total = F.aggregate("votes", F.lit(start), lambda a, v: a + F.when(v["answer"] == "Y", F.element_at(yes, v["annotator"])).otherwise(F.element_at(no, v["annotator"])))
+        return pats.withColumn("p_yes", 1 / (1 + F.exp(-total)))
+    table = small_side(pats.sparkSession.createDataFrame(odds, "annotator string, yes double, no double"))
+    votes = pats.select("_p", F.explode("votes").alias("v")).select("_p", "v.annotator", "v.answer").join(table, "annotator")
+    per = votes.groupBy("_p").agg(F.sum(F.when(F.col("answer") == "Y", F.col("yes")).otherwise(F.col("no"))).alias("_odds"))
+    return pats.join(per, "_p").withColumn("p_yes", 1 / (1 + F.exp(-(F.lit(start) + F.col("_odds"))))).drop("_odds")
 
 
 def consensus(first_sheet: DataFrame, more: DataFrame, min_answers: int = 3) -> DataFrame:

@@ -66,3 +66,11 @@ def test_agreement_numbers(spark):
     assert r["observed_agreement"] == pytest.approx(0.9) and r["alpha"] == pytest.approx(1 - do / de)
     k = C.pair_kappa(a, b).first()
     assert k["n_items"] == 10 and k["kappa"] == pytest.approx((0.9 - 0.5) / 0.5)
+
+
+def test_many_annotators_take_a_table(spark):
+    rng = random.Random(7)
+    rows = [(f"U{i % 60}", f"w{w}", "Y" if (i % 60 < 30) == (rng.random() < 0.5 + w / 20) else "N") for i in range(60) for w in range(10) if rng.random() < 0.7]
+    x = spark.createDataFrame(rows, "item string, annotator string, answer string")
+    a, b = ({r["item"]: r["p_yes"] for r in C.fit(x, 5, literal=n)[0].collect()} for n in (1000, 0))
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a)
