@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import top_per_group
+from corpusloom.session import over_cores, top_per_group
 
 #: Common English words that are no terms.
 STOP_WORDS = "a an and are as at be been before but by can each every first for from has have if in into is it its more no nor not of on or one other out over second so some such than that the their them then there these this those to under was were when where which while with without".split()
@@ -29,7 +29,7 @@ def top_terms(df: DataFrame, group: str, id_col: str, text: str, k: int = 4, min
     are counted per text before any shuffle by group. Texts without a group are a group of their own."""
     df = df.select(F.struct(F.col(group).alias("is")).alias(group), id_col, text)  # a struct equals another with null inside
     n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    tf = with_terms(df.select(group, id_col, F.col(text).alias("_t")), "_t", "_terms").select(group, id_col, F.explode("_terms").alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
+    tf = with_terms(over_cores(df, id_col).select(group, id_col, F.col(text).alias("_t")), "_t", "_terms").select(group, id_col, F.explode("_terms").alias("term")).groupBy(group, id_col, "term").agg(F.count("*").alias("tf"))
     stat = tf.groupBy(group, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     vocab = top_per_group(stat, group, [F.desc("total"), "term"], max_terms, "term").join(n, group).select(group, "term", "_n", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     x = tf.join(vocab, [group, "term"]).withColumn("w", F.col("tf") * F.col("idf"))

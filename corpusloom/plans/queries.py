@@ -225,7 +225,8 @@ def _keyed(spark, d) -> DataFrame:
     """Records under the key of their invention: the family, else the earliest priority, else the application, else
     the record itself."""
     key = dedup.group_key("rec_id", F.col("_family"), text.last_filled(F.col("priority_numbers")), F.col("_appno"))
-    return records(spark, d).select("rec_id", key.alias("family"), dedup.group_key("rec_id", F.col("_appno")).alias("application"), "document_type", "kind", "pub_year")
+    x = over_cores(records(spark, d).select("rec_id", "_family", "priority_numbers", "_appno", "document_type", "kind", "pub_year"), "rec_id")
+    return x.select("rec_id", key.alias("family"), dedup.group_key("rec_id", F.col("_appno")).alias("application"), "document_type", "kind", "pub_year")
 
 
 @query
